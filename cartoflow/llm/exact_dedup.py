@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cartoflow.llm.common import SPACE_RUN, shuffle_partitions, staged, text_or_empty
+from cartoflow.runtime import ship
 
 _EDGE = pa.schema(
     [
@@ -89,6 +90,7 @@ def _runs(batches):
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256: one row per row of ``docs`` (doc_id, text)."""
+    ship(docs.sparkSession)
     norm = normalised(text_or_empty())
     keyed = docs.select(F.col("doc_id").cast("long"), norm.alias("norm")).withColumn("sha", F.sha2(F.col("norm").cast("binary"), 256)).withColumn("prefix", F.substring("norm", 1, PREFIX))
     order = ["prefix", "sha", F.col("doc_id").asc_nulls_last()]

@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from cartoflow.llm.common import shuffle_partitions, staged, text_or_empty
 from cartoflow.llm.textcore import BLOCK_BYTES, mix
+from cartoflow.runtime import ship
 
 LEVELS = 3
 KEEP = 32
@@ -182,6 +183,7 @@ def _across(batches):
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
     spark = docs.sparkSession
+    ship(spark)
     order = F.col("doc_id").desc_nulls_last()
     rows = docs.select(F.col("doc_id").cast("long"), text_or_empty().cast("string").alias("text"))
     dealt = rows.repartitionByRange(shuffle_partitions(spark), order).sortWithinPartitions(order, "text")

@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cartoflow.runtime import ship
+
 TRAIN_DOCS = 3000
 MOST_WORDS = 60_000
 MOST_GRAMS = 40_000
@@ -122,6 +124,7 @@ class WordFirst:
 
 
 def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS, most_words: int = MOST_WORDS, most_grams: int = MOST_GRAMS) -> WordFirst:
+    ship(docs.sparkSession)
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()).select("doc_id", "lang", "text")
     sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:

@@ -23,6 +23,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from cartoflow.runtime import ship
 
 CAPACITY = 1024
 END_ID = 0
@@ -177,6 +180,5 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> Data
         packer.flush()
         yield packer.rows()
 
-    from pyspark.sql import functions as F
-
+    ship(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, _DDL)

@@ -7,7 +7,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from cartoflow.llm import exact_dedup, fingerprints, langid, mixing, packing, token_counts
+from cartoflow.llm import exact_dedup, fingerprints, langid, lm_score, mixing, ngram_join, packing, pii, token_counts
 from cartoflow.llm.common import documents, staged
 
 
@@ -19,6 +19,10 @@ def tokenizer_path(name: str) -> str:
     return os.path.join(os.path.dirname(importlib.util.find_spec("public_tokenizers").origin), name)
 
 
+def op1_pii(spark, sf_dir):
+    return pii.digest(documents(spark, sf_dir))
+
+
 def op2_mixing(spark, sf_dir):
     sized = documents(spark, sf_dir).select(F.col("doc_id").cast("long").alias("doc_id"), "source", mixing.words().alias("size"))
     mixed = mixing.mix(staged(sized, "sizes"))
@@ -33,10 +37,18 @@ def op4_fingerprints(spark, sf_dir):
     return fingerprints.fingerprints(documents(spark, sf_dir))
 
 
+def op5_lm_score(spark, sf_dir):
+    return lm_score.lm_scores(documents(spark, sf_dir))
+
+
 def op7_packing(spark, sf_dir):
     return packing.pack(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op8_jaccard_join(spark, sf_dir):
+    return ngram_join.jaccard_components(documents(spark, sf_dir)).drop("text_hash")
+
+
 def op9_language_id(spark, sf_dir):
     return langid.identify(documents(spark, sf_dir))
 
@@ -45,5 +57,5 @@ def op10_token_counts(spark, sf_dir):
     return token_counts.token_counts(documents(spark, sf_dir), tokenizer_path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op2_mixing, op3_exact_dedup, op4_fingerprints, op7_packing, op9_language_id, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_mixing, op3_exact_dedup, op4_fingerprints, op5_lm_score, op7_packing, op8_jaccard_join, op9_language_id, op10_token_counts)}
 ORACLES = {"op2_mixing": mixing.ORACLE, "op3_exact_dedup": exact_dedup.ORACLE}

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cartoflow.runtime import ship
+
 MARK = "▁"
 UNKNOWN_COST = 10.0
 _REMEMBERED = 300_000
@@ -106,4 +108,5 @@ def token_counts(docs: DataFrame, vocabulary_path: str) -> DataFrame:
                 names=["doc_id", "n_words", "n_tokens"],
             )
 
+    ship(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_words long, n_tokens long")
