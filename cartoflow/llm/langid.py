@@ -148,11 +148,11 @@ _models: dict[int, WordFirst] = {}
 
 
 def predict(docs: DataFrame, model: WordFirst) -> DataFrame:
-    """All columns of ``docs`` with lang_pred and score; only the text column is an input."""
+    """All columns of ``docs`` with __lang_pred and __score; only the text column is an input."""
     packed = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
     key = hash((id(packed), packed.id if hasattr(packed, "id") else 0))
     fields = [(f.name, f.dataType.simpleString()) for f in docs.schema.fields]
-    ddl = ", ".join(f"`{n}` {t}" for n, t in [*fields, ("lang_pred", "string"), ("score", "double")])
+    ddl = ", ".join(f"`{n}` {t}" for n, t in [*fields, ("__lang_pred", "string"), ("__score", "double")])
     at = docs.columns.index("text")
 
     def run(batches):
@@ -164,7 +164,7 @@ def predict(docs: DataFrame, model: WordFirst) -> DataFrame:
             found = [predict_one(x.as_py()) for x in batch.column(at)]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())],
-                names=[*batch.schema.names, "lang_pred", "score"],
+                names=[*batch.schema.names, "__lang_pred", "__score"],
             )
 
     return docs.mapInArrow(run, ddl)
@@ -173,6 +173,6 @@ def predict(docs: DataFrame, model: WordFirst) -> DataFrame:
 def identify(docs: DataFrame, **bounds) -> DataFrame:
     """doc_id, held_out, lang_pred, score for every document."""
     found = predict(docs.select("doc_id", "text"), fit(docs, **bounds))
-    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", held_out().alias("held_out"), F.col("__lang_pred").alias("lang_pred"), F.col("__score").alias("score"))
 
 
