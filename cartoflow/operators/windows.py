@@ -110,7 +110,7 @@ def highest_source(df: DataFrame, by: tuple[str, ...], order: tuple[str, ...], p
 
 def in_smoother(df: DataFrame, by: tuple[str, ...], stamp: str, lag: float) -> DataFrame:
     """How many earlier rows a fixed-lag smoother still holds at each row."""
-    w = Window.partitionBy(*by).orderBy(stamp).rangeBetween(-lag, 0)
+    w = Window.partitionBy(*by).orderBy((F.col(stamp) * 1_000_000).cast("long")).rangeBetween(-round(lag * 1_000_000), 0)
     return df.withColumn("held", F.count("*").over(w) - 1)
 
 
