@@ -7,7 +7,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from cartoflow.llm import exact_dedup, fingerprints, langid, lm_score, mixing, ngram_join, packing, pii, token_counts
+from cartoflow.llm import exact_dedup, fingerprints, langid, lm_score, mixing, ngram_join, packing, pii, suffix_dedup, token_counts
 from cartoflow.llm.common import documents, staged
 
 
@@ -41,6 +41,10 @@ def op5_lm_score(spark, sf_dir):
     return lm_score.lm_scores(documents(spark, sf_dir))
 
 
+def op6_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.remove_repeats(documents(spark, sf_dir))
+
+
 def op7_packing(spark, sf_dir):
     return packing.pack(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"))
 
@@ -57,5 +61,5 @@ def op10_token_counts(spark, sf_dir):
     return token_counts.token_counts(documents(spark, sf_dir), tokenizer_path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_mixing, op3_exact_dedup, op4_fingerprints, op5_lm_score, op7_packing, op8_jaccard_join, op9_language_id, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_mixing, op3_exact_dedup, op4_fingerprints, op5_lm_score, op6_suffix_dedup, op7_packing, op8_jaccard_join, op9_language_id, op10_token_counts)}
 ORACLES = {"op2_mixing": mixing.ORACLE, "op3_exact_dedup": exact_dedup.ORACLE}
