@@ -348,7 +348,7 @@ def voxel_mean(spark, sf):
     return r(aggregates.voxel_mean(points(spark, sf), 1.5, ("intensity",)), "x", "y", "z", "intensity", digits=10)
 
 
-_COV = ", ".join(f"round(covar_pop({a}, {b}) / 3, 6) + 0.0 AS c_{a}{b}" for a, b in ("xx", "xy", "xz", "yy", "yz", "zz"))
+_COV = ", ".join(f"round(covar_pop({a}, {b}) * sqrt(0.5), 6) + 0.0 AS c_{a}{b}" for a, b in ("xx", "xy", "xz", "yy", "yz", "zz"))
 
 
 @query(
@@ -358,8 +358,8 @@ _COV = ", ".join(f"round(covar_pop({a}, {b}) / 3, 6) + 0.0 AS c_{a}{b}" for a, b
 def voxel_gauss_levels(spark, sf):
     made = aggregates.voxel_gaussians(points(spark, sf), 3.0, 2, 2.0)
     names = ["c_xx", "c_xy", "c_xz", "c_yy", "c_yz", "c_zz"]
-    thirds = made.withColumns({n: F.col(n) / 3 for n in names})  # keeps decimal ties out of the rounding
-    return r(r(thirds, "x", "y", "z", digits=10), *names)
+    scaled = made.withColumns({n: F.col(n) * F.sqrt(F.lit(0.5)) for n in names})  # keeps decimal ties out of the rounding
+    return r(r(scaled, "x", "y", "z", digits=10), *names)
 
 
 @query(f"{P}, k AS (SELECT *, {vox(4.0)} AS voxel FROM p), m AS (SELECT *, row_number() OVER (PARTITION BY voxel ORDER BY {ORDER_SQL}) AS rk FROM k) SELECT {IDS}, voxel FROM m WHERE rk <= 3")
