@@ -39,6 +39,8 @@ SECOND = 3
 SMALL_K = 3
 #: Classes verified against each other at once.
 BLOCK = 512
+#: Keys (16 bytes each) of the classes to verify that are broadcast to the scan instead of shuffling the texts.
+MOST_BROADCAST = 2_000_000
 
 
 class Scheme:
@@ -271,6 +273,8 @@ def jaccard_components(docs: DataFrame, width: int = 3, num: int = 90, den: int
     sides = pairs.select("unit", "first", "second", F.explode(F.array_distinct(F.array("first", "second"))).alias("block"))
     texts = keyed.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("k"), "text_hash", "text")
     chosen = members.select("cls", F.coalesce("doc_id", F.lit(-(2**63))).alias("k"), "text_hash")
+    if members.count() <= MOST_BROADCAST:
+        chosen = F.broadcast(chosen)  # else the texts are shuffled to them
     examples = texts.join(chosen, ["k", "text_hash"]).select("cls", "text").mapInArrow(sets, "cls long, elements array<long>")
     examples = staged(examples.dropDuplicates(["cls"]), "examples")
     work = members.select("unit", "block", "cls", "docs").join(sides, ["unit", "block"]).join(examples, "cls")
