@@ -95,6 +95,15 @@ def interpolated(bracketed: DataFrame, column: str, values: tuple[str, ...], cla
     return bracketed.withColumns(made).drop(*[f"{s}_{v}" for s in "lr" for v in values])
 
 
+def interpolated_fixes(bracketed: DataFrame, column: str = "id") -> DataFrame:
+    """Satellite fixes at query times: linear position, the lesser status, sigma unknown (-1) if either is; only bracketed ones."""
+    u = share(column)
+    lerp = [(F.col("l_" + v) + (F.col("r_" + v) - F.col("l_" + v)) * u).alias(v) for v in ("lat", "lon", "alt")]
+    unknown = (F.col("l_sigma") < 0) | (F.col("r_sigma") < 0)
+    sigma = F.when(unknown, -1.0).otherwise(F.col("l_sigma") + (F.col("r_sigma") - F.col("l_sigma")) * u)
+    return bracketed.where("state = 'ok'").select(column, *lerp, F.least("l_status", "r_status").alias("status"), sigma.alias("sigma"))
+
+
 def nearest_in_time(queries: DataFrame, samples: DataFrame, by: tuple[str, ...], column: str, values: tuple[str, ...]) -> DataFrame:
     """The sample nearest in time; of two equally near the earlier one."""
     b = bracket(queries, samples, by, column, values)

@@ -232,3 +232,45 @@ def tiled_export(spark, sf):
     back = spark.read.parquet(folder).groupBy(F.col("tile").cast("string").alias("tile")).agg(F.count("*").alias("n"))
     part = F.split("tile", "_")
     return back.select(part[0].cast("long").alias("tile_x"), part[1].cast("long").alias("tile_y"), "n")
+
+
+@query(
+    f"""{G}, q AS (SELECT event_id AS id, user_id FROM events WHERE event_type = 'view'),
+    b AS (SELECT q.id, q.user_id, (SELECT max(g.id) FROM g WHERE g.user_id = q.user_id AND g.id <= q.id) AS l, (SELECT min(g.id) FROM g WHERE g.user_id = q.user_id AND g.id >= q.id) AS r FROM q)
+    SELECT b.id, round(a.alt + (c.alt - a.alt) * (b.id - l)::DOUBLE / (r - l), 6) + 0.0 AS alt, least(a.status, c.status) AS status,
+      round(CASE WHEN a.sigma < 0 OR c.sigma < 0 THEN -1 ELSE a.sigma + (c.sigma - a.sigma) * (b.id - l)::DOUBLE / (r - l) END, 6) + 0.0 AS sigma
+    FROM b JOIN g a ON a.id = l JOIN g c ON c.id = r"""
+)
+def fix_interpolation(spark, sf):
+    """Satellite fixes at frame times: lesser status, sigma unknown if either is."""
+    q = table(spark, sf, "events").where("event_type = 'view'").select(F.col("event_id").alias("id"), "user_id")
+    b = joins.bracket(q, carrier(spark, sf, "gnss"), ("user_id",), "id", ("lat", "lon", "alt", "status", "sigma"))
+    return r(joins.interpolated_fixes(b).select("id", "alt", "status", "sigma"), "alt", "sigma")
+
+
+@query(f"{P} SELECT {IDS} FROM p WHERE x > 0.1 AND (CAST(floor(-320 * y / x + 320 + 0.5) AS BIGINT) % 8 <> 0 OR CAST(floor(-320 * z / x + 240 + 0.5) AS BIGINT) % 4 <> 0) AND abs(y / x) < 0.9 AND abs(z / x) < 0.6")
+def mask_gate(spark, sf):
+    """Pixels under a mask go."""
+    from cartoflow.operators.scans import unmasked
+
+    p = points(spark, sf).where("x > 0.1 and abs(y / x) < 0.9 and abs(z / x) < 0.6")
+    px = p.withColumns({"u": -320 * F.col("y") / F.col("x") + 320, "v": -320 * F.col("z") / F.col("x") + 240})
+    mask = spark.range(0, 640, 8).select(F.col("id").alias("u")).crossJoin(F.broadcast(spark.range(0, 480, 4).select(F.col("id").alias("v"))))
+    return ids(unmasked(px, mask))
+
+
+@query()
+def equirect_cube(spark, sf):
+    """Sampling table of a cube map from an equirectangular image."""
+    from cartoflow.operators.scans import cube_sampling
+
+    return cube_sampling(spark, 16, 256, 128)
+
+
+@query()
+def odometry(spark, sf):
+    """Continuous-time odometry of sessions, in parallel."""
+    from cartoflow.operators.odometry import odometry as run
+
+    p = points(spark, sf).where("frame_id < 8").select("submap_id", "frame_id", (F.col("frame_id") * 0.1).alias("stamp"), "t", "x", "y", "z")
+    return run(p, "submap_id", 2.0, 4.0)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cartoflow.config import Config
 from cartoflow.functions import geodesy
 from cartoflow.functions import pose as se3
-from cartoflow.operators import aggregates, filters, joins, numeric, projections, scans, sets, windows
+from cartoflow.operators import aggregates, filters, joins, mapping, numeric, odometry, projections, scans, sets, windows
 from cartoflow.plugins import Filter, Slot, Strategies
 from cartoflow.sources import formats, maps
 
@@ -257,3 +257,49 @@ def test_range_image_conventions(spark):
     p = spark.createDataFrame([(0, 10.0, 0.0, 0.0), (0, 5.0, 0.0, 0.0), (0, 1.0, 0.0, 0.0)], "f int, x double, y double, z double")
     assert scans.nearest_image(p, projections.ScanImage(), ("f",)).first().range == 5.0
     assert scans.farthest_image(p, ("f",)).first().range == 10.0
+
+
+def test_odometry_follows_a_moving_sensor():
+    rng = np.random.default_rng(0)
+    world = rng.uniform(-8, 8, (700, 3))
+    rows = []
+    for f in range(5):
+        share = np.linspace(0, 1, len(world))
+        position = np.array([0.3, 0.1, 0.0]) * (f + share[:, None])  # moves during the scan
+        pick = rng.permutation(len(world))[:350]
+        seen = world[pick] - position[pick]
+        rows.append(pd.DataFrame({"frame_id": f, "stamp": f * 0.1, "t": share[pick] * 0.1, "x": seen[:, 0], "y": seen[:, 1], "z": seen[:, 2]}))
+    got = odometry.track(pd.concat(rows))
+    steps = np.diff(got[["x", "y", "z"]].to_numpy(), axis=0)
+    assert np.allclose(steps[2:], [0.3, 0.1, 0.0], atol=0.08)
+
+
+def test_voxel_map_is_bounded():
+    m = odometry.VoxelMap(1.0, most=2, apart=0.2, horizon=5)
+    m.insert(np.array([[0.1, 0.1, 0.1], [0.15, 0.1, 0.1], [0.9, 0.9, 0.9], [0.5, 0.5, 0.5]]))
+    assert len(m.cells[(0, 0, 0)][1]) == 2
+    for _ in range(19):
+        m.insert(np.array([[5.5, 5.5, 5.5]]))
+    assert (0, 0, 0) not in m.cells
+
+
+def test_imu_prediction_falls_freely():
+    imu = pd.DataFrame({"stamp": [0.5, 1.0], "ax": 0.0, "ay": 0.0, "az": 0.0, "wx": 0.0, "wy": 0.0, "wz": 0.0})
+    pose, velocity = odometry.predict_with_imu(np.eye(4), np.array([1.0, 0, 0]), imu, 0.0, 1.0)
+    assert np.allclose(pose[:3, 3], [1, 0, -4.905]) and np.allclose(velocity, [1, 0, -9.81])
+
+
+def test_evicted_keyframe_is_in_the_crowd():
+    xyz = np.array([[0.0, 0, 0], [0.1, 0, 0], [0.2, 0, 0], [9, 0, 0], [10, 0, 0]])
+    assert mapping.evicted_keyframe(xyz) in (0, 1, 2)
+
+
+def test_initial_state_is_upright():
+    rotation, size = mapping.initial_state(pd.DataFrame({"ax": [9.81], "ay": [0.0], "az": [0.0]}))
+    assert np.allclose(rotation @ [1, 0, 0], [0, 0, 1]) and size == pytest.approx(9.81)
+
+
+def test_fold_does_not_need_the_rows_in_order(spark):
+    df = spark.createDataFrame([(1, i, float(i) * 0.6, 0.0, 0.0) for i in (4, 2, 0, 3, 1)], "k int, id long, x double, y double, z double")
+    got = windows.folded(df, ("k",), ("id",), lambda pdf: windows.keyframes(pdf, 1.0), "k int, id long, x double, y double, z double")
+    assert sorted(r.id for r in got.collect()) == [0, 2, 4]
