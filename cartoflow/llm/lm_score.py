@@ -38,6 +38,8 @@ ORDER = 3
 SHARE = 1e-6
 ALPHA = 0.1
 DISCOUNT = 0.5
+#: Tokens of a part of a long document that is walked by itself.
+PART = 512
 #: The end token's name among the hashes of words.
 END = np.uint64(0x656E64)
 _SHIFT = np.uint64(32)
@@ -193,18 +195,25 @@ class Automaton:
         return gain, out
 
     def score(self, word: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """One left-to-right walk of every document, many side by side."""
+        """One left-to-right walk of every document, many side by side.
+
+        Long documents are walked in parts; a part starts with the tokens before it that a
+        state can remember, whose own probabilities belong to the part before.
+        """
         length = np.diff(at)
-        order = np.argsort(-length, kind="stable")
-        start, sorted_length = at[:-1][order], -length[order]
+        parts = np.maximum(-(-length // PART), 1)
+        doc = np.repeat(np.arange(len(length)), parts)
+        offset = (np.arange(len(doc)) - np.repeat(np.cumsum(parts) - parts, parts)) * PART
+        warm = np.minimum(offset, self.levels - 1)
+        size = np.minimum(length[doc] - offset, PART) + warm
+        order = np.argsort(-size, kind="stable")
+        start, falling, warm = (at[:-1][doc] + offset - warm)[order], -size[order], warm[order]
         total, state = np.zeros(len(order)), np.zeros(len(order), np.int64)
-        for i in range(int(length.max(initial=0))):
-            active = int(np.searchsorted(sorted_length, -i, side="left"))
+        for i in range(int(size.max(initial=0))):
+            active = int(np.searchsorted(falling, -i, side="left"))
             gain, state = self.step(state[:active], word[start[:active] + i])
-            total[:active] += gain
-        out = np.empty(len(order))
-        out[order] = total
-        return out
+            total[:active] += gain if i >= self.levels else np.where(warm[:active] <= i, gain, 0.0)
+        return np.bincount(doc[order], total, len(length))
 
 
 def lm_scores(docs: DataFrame, order: int = ORDER, share: float = SHARE) -> DataFrame:
