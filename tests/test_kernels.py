@@ -303,3 +303,54 @@ def test_fold_does_not_need_the_rows_in_order(spark):
     df = spark.createDataFrame([(1, i, float(i) * 0.6, 0.0, 0.0) for i in (4, 2, 0, 3, 1)], "k int, id long, x double, y double, z double")
     got = windows.folded(df, ("k",), ("id",), lambda pdf: windows.keyframes(pdf, 1.0), "k int, id long, x double, y double, z double")
     assert sorted(r.id for r in got.collect()) == [0, 2, 4]
+
+
+def test_layouts_parse(spark):
+    from cartoflow import schema
+    from pyspark.sql.types import StructType
+
+    for name in ("POSE", "POINTS", "KNN", "FRAMES", "SUBMAPS", "FACTORS", "GRAPH_VALUES", "IMU", "GNSS", "TRAJECTORY", "MATCHES", "GEOID", "CHUNKS"):
+        assert isinstance(StructType.fromDDL(getattr(schema, name)), StructType)
+
+
+def test_operators_take_empty_tables(spark):
+    p = spark.createDataFrame([], "id long, k string, t double, x double, y double, z double, intensity double, is_ground int, range double, gps_time double, scanner_id int")
+    made = [
+        filters.distance_band(p), filters.range_filter(p, 1.0, 5.0, 1.0, 2.0), aggregates.voxel_merge(p, 1.0, ("id",)), aggregates.voxel_gaussians(p, 1.0), aggregates.upper_median(p, "x", "k"),
+        windows.travel(p, ("k",), ("t",)), windows.island_sizes(p, ("k",), "t", 1.0), windows.waypoints(p, ("k",), ("t",), 5.0), joins.radius_count(p, 1.0, ("id",)), joins.knn_within(p, 3, 1.0, ("id",)),
+        joins.bracket(p.select("k", "t"), p.select("k", "t", "x"), ("k",), "t", ("x",)), joins.close_pairs(p.select("id", "x", "y", "z"), 1.0), scans.nearest_image(p, projections.ScanImage(), ("k",)),
+        mapping.grow_region(p.withColumns({f"n{c}": F.col(c) for c in "xyz"}), 1.0, 10.0), numeric.fit_ground(numeric.ground_patches(p, 5.0, 45.0), ("k", "sector", "zone"), ("id",)),
+    ]
+    assert all(d.count() == 0 for d in made)
+
+
+def test_single_rows_and_ties(spark):
+    p = spark.createDataFrame([(1, "a", 0.0, 1.0, 1.0, 1.0)] * 3 + [(2, "a", 0.0, 1.0, 1.0, 1.0)], "id long, k string, t double, x double, y double, z double")
+    assert joins.radius_count(p.distinct(), 0.5, ("id",)).select("neighbours").distinct().collect()[0][0] == 2
+    assert windows.travel(p, ("k",), ("t", "id")).agg(F.sum("step")).first()[0] == 0.0
+    assert windows.headings(p.limit(1), ("k",), ("t",)).first().heading == 0.0
+
+
+def test_stream_equals_batch_at_any_file_count(spark, sf):
+    from cartoflow.streaming import streams
+
+    e = spark.read.parquet(f"{sf}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    results = []
+    for files in (1, 5):
+        s = streams.file_stream(spark, streams.replay_folder(e, files, "event_id"), e.schema, 1)
+        made = streams.drain(streams.counted_windows(s, "user_id", "event_id", 7, "key long, submap int, n int, total double"))
+        results.append(sorted((r.key, r.submap, round(r.total, 6)) for r in made.collect()))
+    assert results[0] == results[1]
+
+
+def test_windowed_and_session_streams_close_by_watermark(spark, sf):
+    from cartoflow.streaming import streams
+
+    e = spark.read.parquet(f"{sf}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    s = streams.file_stream(spark, streams.replay_folder(e, 3, "event_id"), e.schema, 1)
+    counts = streams.drain(streams.windowed_counts(s, "ts", "1 hour", "6 hours", "event_type"))
+    batch = e.groupBy(F.window("ts", "6 hours").alias("w"), "event_type").agg(F.count("*").alias("n"))
+    closed = {(r.start, r.event_type): r.n for r in counts.collect()}
+    whole = {(r.w.start, r.event_type): r.n for r in batch.collect()}
+    assert closed and all(whole[k] == n for k, n in closed.items())
+    assert streams.drain(streams.silent(s, "ts", "1 hour", "2 hours", "user_id")).count() > 0
