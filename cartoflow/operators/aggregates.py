@@ -86,16 +86,33 @@ def statistics(df: DataFrame, column: str, *by: str) -> DataFrame:
     return df.groupBy(*by).agg(F.count(column).alias("n"), F.avg(column).alias("mean"), F.coalesce(F.stddev_samp(column), F.lit(0.0)).alias("sd"), F.min(column).alias("least"), F.max(column).alias("most"))
 
 
+#: Histogram bins in which a percentile's rank is first located.
+BINS = 2048
+
+
 def percentile_at(df: DataFrame, column: str, by: tuple[str, ...], **ranks: Column) -> DataFrame:
     """Values at zero-based positions of the sorted column; a rank is an expression of ``n``, the group's size.
 
-    Values are first counted, so the ordered pass runs over distinct values and not over rows.
+    Values are counted first (map-side), a histogram over each group's range locates the bins
+    that hold the ranks, and only the values of those bins are put in order: no task sorts a group.
     """
-    counted = df.where(F.col(column).isNotNull()).groupBy(*by, column).agg(F.count("*").alias("c"))
-    w = Window.partitionBy(*by).orderBy(column)
-    placed = counted.withColumn("upto", F.sum("c").over(w)).withColumn("n", F.sum("c").over(Window.partitionBy(*by)))
-    picks = [F.min(F.when(F.col("upto") > rank, F.col(column))).alias(name) for name, rank in ranks.items()]
-    return placed.groupBy(*by).agg(*picks, F.max("n").alias("n"))
+    value = F.col(column)
+    counted = df.where(value.isNotNull()).groupBy(*by, column).agg(F.count("*").alias("c"))
+    span = counted.groupBy(*by).agg(F.min(column).alias("__lo"), F.max(column).alias("__hi"), F.sum("c").alias("n"))
+    width = F.col("__hi") - F.col("__lo")
+    bin_of = F.when((width > 0) & (width < float("inf")), F.least(F.lit(BINS - 1), F.floor((value - F.col("__lo")) / width * BINS))).otherwise(F.lit(0))
+    joined = counted.join(span, list(by)) if by else counted.crossJoin(F.broadcast(span))
+    keyed = joined.select(*by, column, "c", "n", bin_of.cast("int").alias("__bin"))
+    bins = keyed.groupBy(*by, "__bin").agg(F.sum("c").alias("__size"), F.max("n").alias("n"))
+    placed = bins.withColumn("__before", F.sum("__size").over(Window.partitionBy(*by).orderBy("__bin")) - F.col("__size"))
+    asked = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), rank.cast("long").alias("rank")) for name, rank in ranks.items()]))
+    holding = placed.withColumn("__q", asked).where((F.col("__q.rank") >= F.col("__before")) & (F.col("__q.rank") < F.col("__before") + F.col("__size")))
+    wanted = holding.select(*by, "__bin", "__q.name", (F.col("__q.rank") - F.col("__before")).alias("__rest"))
+    inside = keyed.join(wanted, [*by, "__bin"])
+    upto = F.sum("c").over(Window.partitionBy(*by, "__bin", "name").orderBy(column))
+    picked = inside.withColumn("__upto", upto).where(F.col("__upto") > F.col("__rest"))
+    values = [F.min(F.when(F.col("name") == name, value)).alias(name) for name in ranks]
+    return picked.groupBy(*by).agg(*values, F.max("n").alias("n"))
 
 
 def rank_floor(p: float) -> Column:
