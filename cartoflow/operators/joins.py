@@ -59,21 +59,29 @@ def knn_within(points: DataFrame, k: int, reach: float, ids: tuple[str, ...], ke
     return pairs.withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < k)
 
 
-def bracket(queries: DataFrame, samples: DataFrame, by: tuple[str, ...], column: str, values: tuple[str, ...]) -> DataFrame:
+def bracket(queries: DataFrame, samples: DataFrame, by: tuple[str, ...], column: str, values: tuple[str, ...], chunk: float | None = None) -> DataFrame:
     """As-of bracketing: the last sample at or before and the first at or after each query.
 
     Adds l_/r_ copies of ``column`` and ``values`` and state: ok, late (every sample is newer),
-    early (every sample is older).  One shuffle by ``by``; the window runs over both sides.
+    early (every sample is older).  One shuffle; the window runs over both sides.  With
+    ``chunk`` a series is cut into spans of that length, each a window of its own, and the
+    samples around a span come from one aggregated row a span: a key with a third of all rows
+    is then no single task's work.
     """
     given = F.struct(F.col(column).alias("at"), *values)
     left = samples.select(*by, F.col(column).alias("__t"), F.lit(0).alias("__q"), given.alias("__s"), F.lit(None).cast(queries.select(F.struct("*")).schema[0].dataType).alias("__row"))
     right = queries.select(*by, F.col(column).alias("__t"), F.lit(1).alias("__q"), F.lit(None).cast(left.schema["__s"].dataType).alias("__s"), F.struct("*").alias("__row"))
-    both = left.unionByName(right)
-    w = Window.partitionBy(*by)
+    both = left.unionByName(right).withColumn("__span", F.floor(F.col("__t") / chunk) if chunk else F.lit(0))
+    w = Window.partitionBy(*by, "__span")
     before = F.last("__s", ignorenulls=True).over(w.orderBy("__t", "__q").rowsBetween(Window.unboundedPreceding, 0))
     # samples at the query's own time come first going forward and going back
     after = F.last("__s", ignorenulls=True).over(w.orderBy(F.desc("__t"), "__q").rowsBetween(Window.unboundedPreceding, 0))
     out = both.withColumn("__l", before).withColumn("__r", after).where("__q = 1")
+    if chunk:
+        ends = both.groupBy(*by, "__span").agg(F.max_by("__s", F.when(F.col("__q") == 0, F.col("__t"))).alias("__last"), F.min_by("__s", F.when(F.col("__q") == 0, F.col("__t"))).alias("__first"))
+        spans = Window.partitionBy(*by).orderBy("__span")
+        ends = ends.select(*by, "__span", F.last("__last", ignorenulls=True).over(spans.rowsBetween(Window.unboundedPreceding, -1)).alias("__past"), F.first("__first", ignorenulls=True).over(spans.rowsBetween(1, Window.unboundedFollowing)).alias("__next"))
+        out = out.join(ends, [*by, "__span"]).withColumn("__l", F.coalesce("__l", "__past")).withColumn("__r", F.coalesce("__r", "__next"))
     state = F.when(F.col("__l").isNull(), "late").when(F.col("__r").isNull(), "early").otherwise("ok")
     cols = [F.col(f"__{s}.{c}").alias(f"{s}_{n}") for s in "lr" for c, n in [("at", column), *[(v, v) for v in values]]]
     return out.select("__row.*", *cols, state.alias("state"))

@@ -11,10 +11,28 @@ def step_length(w, names=("x", "y", "z")) -> Column:
     return F.coalesce(F.sqrt(d), F.lit(0.0))
 
 
-def travel(df: DataFrame, by: tuple[str, ...], order: tuple[str, ...], names=("x", "y", "z")) -> DataFrame:
-    """Length of each step and the distance travelled so far."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    return df.withColumn("step", step_length(w, names)).withColumn("travelled", F.sum("step").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+def travel(df: DataFrame, by: tuple[str, ...], order: tuple[str, ...], names=("x", "y", "z"), chunk: float | None = None) -> DataFrame:
+    """Length of each step and the distance travelled so far.
+
+    With ``chunk`` a path is cut into spans of that length of the first order column, summed
+    apart and joined by one row a span, so that a long path is not one task's work.
+    """
+    if not chunk:
+        w = Window.partitionBy(*by).orderBy(*order)
+        return df.withColumn("step", step_length(w, names)).withColumn("travelled", F.sum("step").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    cut = df.withColumn("__span", F.floor(F.col(order[0]) / chunk))
+    w = Window.partitionBy(*by, "__span").orderBy(*order)
+    inside = cut.withColumn("step", step_length(w, names)).withColumn("__first", F.row_number().over(w) == 1)
+    key, place = F.struct(*order), F.struct(*names)
+    spans = cut.groupBy(*by, "__span").agg(F.min_by(place, key).alias("__in"), F.max_by(place, key).alias("__out"))
+    length = inside.groupBy(*by, "__span").agg(F.sum("step").alias("__length"))
+    s = Window.partitionBy(*by).orderBy("__span")
+    joint = sum(((F.col(f"__in.{n}") - F.lag(f"__out.{n}").over(s)) ** 2 for n in names), F.lit(0.0))
+    spans = spans.join(length, [*by, "__span"]).withColumn("__joint", F.coalesce(F.sqrt(joint), F.lit(0.0)))
+    past = F.sum(F.col("__joint") + F.col("__length")).over(s.rowsBetween(Window.unboundedPreceding, 0)) - F.col("__length")
+    spans = spans.select(*by, "__span", "__joint", past.alias("__past"))
+    joined = inside.join(spans, [*by, "__span"]).withColumn("travelled", F.col("__past") + F.sum("step").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return joined.withColumn("step", F.when(F.col("__first"), F.col("__joint")).otherwise(F.col("step"))).select(*df.columns, "step", "travelled")
 
 
 def deltas(df: DataFrame, by: tuple[str, ...], order: tuple[str, ...], names) -> DataFrame:

@@ -29,6 +29,13 @@ def travel_dist(spark, sf):
     return r(windows.travel(path(spark, sf), ("session", "submap_id"), ("ts", "id")).select("id", "step", "travelled"), "step", "travelled", digits=4)
 
 
+@query(f"{T}, s AS (SELECT id, session, coalesce({_STEP}, 0) AS step FROM tr WINDOW w AS (PARTITION BY session ORDER BY id)) SELECT id, round(step, 4) + 0.0 AS step, round(sum(step) OVER (PARTITION BY session ORDER BY id), 4) + 0.0 AS travelled FROM s")
+def travel_spans(spark, sf):
+    """Whole sessions, each cut into spans that are summed apart."""
+    got = windows.travel(path(spark, sf), ("session",), ("id",), chunk=400.0)
+    return r(got.select("id", "step", "travelled"), "step", "travelled", digits=4)
+
+
 @query(f"{S} SELECT id, round(signal - lag(signal) OVER (PARTITION BY stream ORDER BY id), 6) + 0.0 AS d_signal FROM imu")
 def deltas(spark, sf):
     return r(windows.deltas(signals(spark, sf), ("stream",), ("id",), ("signal",)).select("id", "d_signal"), "d_signal")
@@ -125,7 +132,7 @@ def _sides(spark, sf):
 @query(f"{S}, {_AS}, {_BR} SELECT id, stream, l_id, r_id, CASE WHEN l_id IS NULL THEN 'late' WHEN r_id IS NULL THEN 'early' ELSE 'ok' END AS state FROM b")
 def asof_bracket(spark, sf):
     q, a = _sides(spark, sf)
-    return joins.bracket(q, a, ("stream",), "id", ("signal",)).select("id", "stream", "l_id", "r_id", "state")
+    return joins.bracket(q, a, ("stream",), "id", ("signal",), chunk=500.0).select("id", "stream", "l_id", "r_id", "state")
 
 
 _IP = "ip AS (SELECT b.*, l.signal AS lv, rr.signal AS rv, CASE WHEN r_id > l_id THEN (b.id - l_id)::DOUBLE / (r_id - l_id) ELSE 0 END AS u FROM b LEFT JOIN a l ON l.id = l_id LEFT JOIN a rr ON rr.id = r_id)"
