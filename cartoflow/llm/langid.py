@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cartoflow.llm.common import staged
 from cartoflow.runtime import ship
 
 TRAIN_DOCS = 3000
@@ -66,41 +67,39 @@ def _count(batches):
 
 
 class WordFirst:
-    """The fitted tables: one row of log frequencies (a column per language) per word or n-gram."""
+    """The fitted tables: words first, then n-grams by length, each a place in a matrix of log frequencies by language."""
 
-    def __init__(self, langs: list[str], tables: list[dict[str, list[float]]]):
+    def __init__(self, langs: list[str], tables: list[tuple[list[str], np.ndarray]]):
         self.langs = langs
-        width = max(len(langs), 1)
-        totals = [np.zeros(width) for _ in tables]
-        for total, table in zip(totals, tables, strict=True):
-            for row in table.values():
-                total += row
-        self.tables = []
-        for total, table in zip(totals, tables, strict=True):
-            floor = np.log(total + 0.5 * max(len(table), 1))
-            self.tables.append({g: (np.log(np.array(row) + 0.5) - floor).astype(np.float32) for g, row in table.items()})
+        self.width = max(len(langs), 1)
+        self.places, self.logs = [], []
+        for grams, counts in tables:
+            floor = np.log(counts.sum(axis=0) + 0.5 * max(len(grams), 1))
+            self.places.append({g: k for k, g in enumerate(grams)})
+            self.logs.append((np.log(counts + 0.5) - floor).astype(np.float32))
         self.start()
 
     def start(self):
         self.index: dict[str, int] = {}
-        self.rows = np.zeros((1024, max(len(self.langs), 1)), np.float32)
+        self.rows = np.zeros((1024, self.width), np.float32)
 
     def __getstate__(self):
-        return self.langs, self.tables
+        return self.langs, self.width, self.places, self.logs
 
     def __setstate__(self, state):
-        self.langs, self.tables = state
+        self.langs, self.width, self.places, self.logs = state
         self.start()
 
     def score_word(self, word: str) -> np.ndarray:
-        known = self.tables[0].get(word)
+        known = self.places[0].get(word)
         if known is not None:
-            return known
+            return self.logs[0][known]
         for n in range(LONGEST, 0, -1):
-            found = [row for g in _grams(word, n) if (row := self.tables[n].get(g)) is not None]
+            place = self.places[n]
+            found = [k for g in _grams(word, n) if (k := place.get(g)) is not None]
             if found:  # the mean, so that a long unseen word weighs like a known one
-                return np.mean(found, axis=0)
-        return np.zeros(max(len(self.langs), 1), np.float32)
+                return self.logs[n][found].mean(axis=0)
+        return np.zeros(self.width, np.float32)
 
     def place(self, word: str) -> int:
         k = len(self.index)
@@ -128,19 +127,18 @@ def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS, most_words: int = MOST_WO
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()).select("doc_id", "lang", "text")
     sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
-        return WordFirst([], [{} for _ in range(LONGEST + 1)])
+        return WordFirst([], [([], np.zeros((0, 1))) for _ in range(LONGEST + 1)])
     rate = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, train_docs / n))])
     share = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / F.lit(1_000_003.0)
     sample = labelled.where(share < F.element_at(rate, F.col("lang"))).select("lang", "text")
     counts = sample.mapInArrow(_count, "lang string, n int, gram string, c long").groupBy("n", "gram", "lang").agg(F.sum("c").alias("c"))
     langs = sorted(sizes)
     by_lang = [F.sum(F.when(F.col("lang") == x, F.col("c")).otherwise(0)).cast("double").alias(f"l{k}") for k, x in enumerate(langs)]
-    wide = counts.groupBy("n", "gram").agg(*by_lang, F.sum("c").alias("all")).where("n > 0 or `all` > 1").persist()
+    wide = staged(counts.groupBy("n", "gram").agg(*by_lang, F.sum("c").alias("all")).where("n > 0 or `all` > 1"), "grams")
     tables = []
     for n in range(LONGEST + 1):
-        rows = wide.where(F.col("n") == n).orderBy(F.desc("all"), "gram").limit(most_grams if n else most_words).collect()
-        tables.append({r["gram"]: [r[f"l{k}"] for k in range(len(langs))] for r in rows})
-    wide.unpersist()
+        rows = wide.where(F.col("n") == n).orderBy(F.desc("all"), "gram").limit(most_grams if n else most_words).toPandas()
+        tables.append((rows["gram"].tolist(), rows[[f"l{k}" for k in range(len(langs))]].to_numpy(float)))
     return WordFirst(langs, tables)
 
 
