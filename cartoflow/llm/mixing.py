@@ -79,12 +79,23 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
     cells = fine.groupBy("source", _KEY, "size").agg(F.sum("n").alias("n"))
     solved = balance(cells, targets(cells, weights, most))
     before_size = F.sum("n").over(Window.partitionBy(_KEY).orderBy("size")) - F.col("n")
-    sizes = cells.select(_KEY, "size", before_size.alias("before_size"))
+    sizes = cells.select(_KEY, "size", "n", before_size.alias("before_size"))
     before_salt = F.sum("n").over(Window.partitionBy(_KEY, "size").orderBy("__salt")) - F.col("n")
-    offsets = fine.select(_KEY, "size", "__salt", before_salt.alias("before_salt")).join(sizes, [_KEY, "size"])
+    offsets = fine.select(_KEY, "size", "__salt", before_salt.alias("before_salt"))
     rate = F.least(F.round(F.exp("lam"), 9), F.lit(float(most)))
-    plan = offsets.join(solved.select(_KEY, "source_size", "target", rate.alias("rate")), _KEY)
-    plan = plan.select(_KEY, "size", "__salt", "source_size", "target", "rate", (F.col("before_size") + F.col("before_salt")).alias("__before"))
+    rated = sizes.join(solved.select(_KEY, "source_size", "target", rate.alias("rate")), _KEY)
+    # what rounding the large documents has cost is made up for by the small ones
+    small = F.col("size") <= F.col("cut")
+    cut = rated.groupBy(_KEY).agg((F.max("source_size") * 2.0 / F.sum("n")).alias("cut"))
+    last = F.col("before_size") + F.col("n")
+    whole, part = F.floor("rate"), F.col("rate") - F.floor("rate")
+    given = F.col("size") * (F.col("n") * whole + F.floor(last * part + 0.5) - F.floor(F.col("before_size") * part + 0.5))
+    judged = rated.join(cut, _KEY)
+    sums = judged.groupBy(_KEY, "target", "rate").agg(F.sum(F.when(small, 0).otherwise(given)).alias("given"), F.sum(F.when(small, F.col("n") * F.col("size")).otherwise(0)).alias("rest"))
+    fair = F.greatest(F.lit(0.0), F.least(F.lit(float(most)), F.round((F.col("target") - F.col("given")) / F.col("rest"), 9)))
+    sums = sums.select(_KEY, F.when(F.col("rest") > 0, fair).otherwise(F.col("rate")).alias("small_rate"))
+    told = judged.join(sums, _KEY).select(_KEY, "size", "source_size", "target", F.when(small, F.col("small_rate")).otherwise(F.col("rate")).alias("rate"), "before_size")
+    plan = offsets.join(told, [_KEY, "size"]).select(_KEY, "size", "__salt", "source_size", "target", "rate", (F.col("before_size") + F.col("before_salt")).alias("__before"))
     own = Window.partitionBy(_KEY, "size", "__salt").orderBy(F.col("doc_id").asc_nulls_last())
     rank = F.col("__before") + F.row_number().over(own)
     whole = F.floor("rate")
@@ -101,10 +112,17 @@ weighed AS (SELECT *, CASE k % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE
 levelled AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
                  / sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lv FROM weighed),
 goal AS (SELECT source, source_size, coalesce(least(cap, weight * (SELECT lv FROM levelled WHERE lv <= cap / weight ORDER BY cap / weight, source NULLS LAST LIMIT 1)), cap) AS target FROM levelled),
-rated AS (SELECT s.doc_id, s.size, g.source_size, g.target,
-                 least(round(CASE WHEN g.source_size > 0 THEN g.target / g.source_size ELSE 1 END, 9), 3) AS r,
+rate AS (SELECT source, source_size, target, least(round(CASE WHEN source_size > 0 THEN target / source_size ELSE 1 END, 9), 3) AS r FROM goal),
+cells AS (SELECT source, size, count(*) AS n, sum(count(*)) OVER (PARTITION BY source ORDER BY size) - count(*) AS b FROM sized GROUP BY source, size),
+mean AS (SELECT source, sum(n * size) * 2.0::DOUBLE / sum(n) AS cut FROM cells GROUP BY source),
+sums AS (SELECT rate.source, any_value(source_size) AS source_size, any_value(target) AS target, any_value(r) AS r, any_value(cut) AS cut,
+                sum(CASE WHEN size > cut THEN size * (n * floor(r) + floor((b + n) * (r - floor(r)) + 0.5) - floor(b * (r - floor(r)) + 0.5)) ELSE 0 END) AS given,
+                sum(CASE WHEN size <= cut THEN n * size ELSE 0 END)::DOUBLE AS rest
+         FROM rate JOIN cells ON rate.source IS NOT DISTINCT FROM cells.source JOIN mean ON rate.source IS NOT DISTINCT FROM mean.source GROUP BY rate.source),
+fair AS (SELECT *, CASE WHEN rest > 0 THEN greatest(0, least(3, round((target - given) / rest, 9))) ELSE r END AS q FROM sums),
+rated AS (SELECT s.doc_id, s.size, g.source_size, g.target, CASE WHEN s.size <= g.cut THEN g.q ELSE g.r END AS r,
                  row_number() OVER (PARTITION BY s.source ORDER BY s.size, coalesce(((s.doc_id % 16) + 16) % 16, 0), s.doc_id NULLS LAST) AS k
-          FROM sized s JOIN goal g ON s.source IS NOT DISTINCT FROM g.source)
+          FROM sized s JOIN fair g ON s.source IS NOT DISTINCT FROM g.source)
 SELECT doc_id, size, source_size, round(target, 4) AS target,
        CAST((floor(r) + floor(k * (r - floor(r)) + 0.5) - floor((k - 1) * (r - floor(r)) + 0.5)) * size AS BIGINT) AS taken
 FROM rated
