@@ -1,8 +1,8 @@
 """Packing token sequences by Karmarkar-Karp multiway differencing.
 
 Every document's ids (byte-level BPE, then the end id) are cut into windows of exactly the
-capacity and a rest; rests are cut into short pieces, gathered into pools of a few dozen
-windows, and each pool is split by the largest differencing method: partial partitions with
+capacity and a rest; rests are cut into a few uneven pieces, gathered into pools of about a
+hundred windows, and each pool is split by the largest differencing method: partial partitions with
 opposing imbalances merge until one near-equal partition is left.  Where its largest window
 exceeds the capacity, the pool is split again into one window more.  Pools are made from
 consecutive rows of one input partition, so nothing is shuffled and a task run again gives
@@ -29,10 +29,11 @@ from cartoflow.runtime import ship
 
 CAPACITY = 1024
 END_ID = 0
-#: Rests are cut to pieces of at most this many tokens, so that differencing has several pieces a window.
-PIECE = 256
+#: A rest is cut into uneven pieces of these shares and what is left, none below ``LEAST`` tokens: differencing
+#: balances the large ones against each other and the small ones even out what remains.
+SHARES, LEAST = (2 / 3, 2 / 9, 2 / 27), 4
 #: Windows in a pool, and the tokens a window that a pool leaves free for the imbalance that remains.
-POOL, FREE = 64, 3
+POOL, FREE = 128, 3
 
 _DDL = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _SCHEMA = pa.schema([(x.split()[0], pa.int64()) for x in _DDL.split(", ")])
@@ -137,11 +138,14 @@ class _Packer:
             at += self.capacity
         while at < n:
             take = min(n - at, self.goal - self.pooled)
-            pieces = -(-take // PIECE)
-            for k in range(pieces):
-                size = take // pieces + (k < take % pieces)
-                self.pool.append((doc_id, ids, at, size))
-                at += size
+            left = take
+            for size in (*(int(take * share) for share in SHARES), take):
+                size = min(size, left)
+                if size == left or (size >= LEAST and left - size >= LEAST):
+                    self.pool.append((doc_id, ids, at, size))
+                    at, left = at + size, left - size
+                if not left:
+                    break
             self.pooled += take
             if self.pooled >= self.goal:
                 self.flush()
