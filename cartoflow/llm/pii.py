@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -142,58 +143,50 @@ class Booster:
     """Boosted depth-two trees over weighted integer rows, and the threshold of the wanted precision."""
 
     def __init__(self, rows: list[tuple[tuple[int, ...], int, int, bool]]):
-        fit = [(f, y, n) for f, y, n, held in rows if not held]
-        positive = sum(n for _, y, n in fit if y)
-        total = sum(n for _, _, n in fit)
+        features = np.array([f for f, *_ in rows], np.int64).reshape(len(rows), len(FEATURES))
+        label, weight = np.array([r[1] for r in rows], float), np.array([r[2] for r in rows], float)
+        held = np.array([r[3] for r in rows], bool)
+        x, y, n = features[~held], label[~held], weight[~held]
+        positive, total = float((y * n).sum()), float(n.sum())
         self.trees: list = []
-        self.threshold = math.inf
+        self.start, self.threshold = 0.0, math.inf
         if not positive or positive == total:
-            self.start = 0.0
-            if positive and positive == total:
-                self.threshold = 0.0
+            self.threshold = 0.0 if positive else math.inf
             return
         self.start = math.log(positive / (total - positive))
-        margin = [self.start] * len(fit)
+        margin = np.full(len(x), self.start)
         for _ in range(ROUNDS):
-            chance = [1 / (1 + math.exp(-m)) for m in margin]
-            pull = [(y - p) * n for (_, y, n), p in zip(fit, chance, strict=True)]
-            bend = [p * (1 - p) * n for (_, _, n), p in zip(fit, chance, strict=True)]
-            tree = self._grow(fit, pull, bend, range(len(fit)), 2)
+            chance = 1 / (1 + np.exp(-margin))
+            tree = self._grow(x, (y - chance) * n, chance * (1 - chance) * n, 2)
             self.trees.append(tree)
-            margin = [m + self._leaf(tree, f) for m, (f, _, _) in zip(margin, fit, strict=True)]
-        kept = sorted(((self.margin(f), y, n) for f, y, n, held in rows if held), reverse=True)
-        right = wrong = 0
-        for k, (m, y, n) in enumerate(kept):
-            right, wrong = right + y * n, wrong + (1 - y) * n
-            last_of_ties = k + 1 == len(kept) or kept[k + 1][0] < m
-            if last_of_ties and right >= PRECISION * (right + wrong):
-                self.threshold = m
-
-    def _grow(self, fit, pull, bend, at, depth):
-        at = list(at)
-        g, h = sum(pull[i] for i in at), sum(bend[i] for i in at)
-        leaf = RATE * max(-4.0, min(4.0, g / (h + 1.0)))
+            margin += self._leaves(tree, x)
+        margin = self.start + sum(self._leaves(t, features[held]) for t in self.trees)
+        order = np.argsort(-margin, kind="stable")
+        margin, right = margin[order], np.cumsum((label * weight)[held][order])
+        good = right >= PRECISION * np.cumsum(weight[held][order])
+        if len(margin):
+            good &= np.append(margin[1:] < margin[:-1], True)  # ties are taken or left together
+            if good.any():
+                self.threshold = float(margin[np.flatnonzero(good)[-1]])
+
+    def _grow(self, x, pull, bend, depth):
+        g, h = pull.sum(), bend.sum()
         best = None
-        if depth:
-            for k in range(len(FEATURES)):
-                for cut in sorted({fit[i][0][k] for i in at})[1:]:
-                    gl = sum(pull[i] for i in at if fit[i][0][k] < cut)
-                    hl = sum(bend[i] for i in at if fit[i][0][k] < cut)
-                    gain = gl * gl / (hl + 1) + (g - gl) ** 2 / (h - hl + 1) - g * g / (h + 1)
-                    if gain > 1e-6 and (best is None or gain > best[0]):
-                        best = gain, k, cut
+        for k in range(len(FEATURES) if depth and len(x) else 0):
+            below_g, below_h = (np.cumsum(np.bincount(x[:, k], v))[:-1] for v in (pull, bend))
+            gain = below_g**2 / (below_h + 1) + (g - below_g) ** 2 / (h - below_h + 1) - g * g / (h + 1)
+            if len(gain) and gain.max() > 1e-6 and (best is None or gain.max() > best[0]):
+                best = float(gain.max()), k, int(gain.argmax()) + 1
         if best is None:
-            return leaf
+            return float(RATE * max(-4.0, min(4.0, g / (h + 1.0))))
         _, k, cut = best
-        return k, cut, self._grow(fit, pull, bend, [i for i in at if fit[i][0][k] < cut], depth - 1), self._grow(fit, pull, bend, [i for i in at if fit[i][0][k] >= cut], depth - 1)
+        low = x[:, k] < cut
+        return k, cut, self._grow(x[low], pull[low], bend[low], depth - 1), self._grow(x[~low], pull[~low], bend[~low], depth - 1)
 
-    def _leaf(self, tree, f):
-        while isinstance(tree, tuple):
-            tree = tree[2] if f[tree[0]] < tree[1] else tree[3]
-        return tree
-
-    def margin(self, f) -> float:
-        return self.start + sum(self._leaf(t, f) for t in self.trees)
+    def _leaves(self, tree, x):
+        if not isinstance(tree, tuple):
+            return np.full(len(x), tree)
+        return np.where(x[:, tree[0]] < tree[1], self._leaves(tree[2], x), self._leaves(tree[3], x))
 
     def sql(self, f: str) -> str:
         def spelled(tree):
