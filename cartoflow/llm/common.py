@@ -14,6 +14,8 @@ SPACE_RUN = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 _own_folder: list[str] = []
+#: Tables written so far, in order.
+_staged: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,9 +40,23 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/staged/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _staged.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_staged(spark: SparkSession, since: int, keep: int = 1) -> None:
+    """Delete the tables staged after the first ``since``, except the last ``keep``: nothing may read them any more."""
+    gone = _staged[since : len(_staged) - keep]
+    for name in gone:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _staged.remove(name)
+
+
+def staged_count() -> int:
+    return len(_staged)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cartoflow.llm import exact_dedup, langid, mixing, ngram_join, packing
-from cartoflow.llm.common import staged, text_or_empty
+from cartoflow.llm.common import drop_staged, staged, staged_count, text_or_empty
 from cartoflow.llm.queries import tokenizer_path
 
 _NO_ID = -(2**63)
@@ -71,6 +71,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    since = staged_count()
     for name, stage in STAGES:
         docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        drop_staged(spark, since)  # what the stage and its predecessor wrote
     return docs
