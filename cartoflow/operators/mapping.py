@@ -118,6 +118,32 @@ def plane_radius(points: DataFrame, centre, radii: list[float], least: int) -> D
     return wide.groupBy("radius").agg(F.count("*").alias("k"), *[F.avg(c).alias("m" + c) for c in _XYZ], *[F.covar_pop(a, b).alias(f"c_{a}{b}") for a, b in pairs]).where(F.col("k") >= least)
 
 
+def flat_radius(points: DataFrame, centre, radii: list[float], least: int, flatness: float = 0.05) -> float | None:
+    """The largest radius at which the neighbourhood is still a plane (smallest eigenvalue's share below ``flatness``)."""
+    from cartoflow.operators.numeric import eigen
+
+    rows = eigen(plane_radius(points, centre, radii, least), ("radius",)).collect()
+    flat = [r.radius for r in rows if r.l0 <= flatness * (r.l0 + r.l1 + r.l2)]
+    return max(flat, default=None)
+
+
+def fill_zero_intensity(points: DataFrame, radius: float, ids: tuple[str, ...]) -> DataFrame:
+    """Zero returns get the mean intensity of the non-zero ones around them (null where there is none)."""
+    zero, other = points.where("intensity = 0"), points.where("intensity <> 0")
+    near = joins.range_join(zero.select(*ids, *_XYZ), other.select(*_XYZ, "intensity"), radius)
+    mean = near.groupBy(*ids).agg(F.avg("r_intensity").alias("__i"))
+    return sets.union(other, zero.drop("intensity").join(mean, list(ids), "left").withColumnRenamed("__i", "intensity").select(*points.columns))
+
+
+def trails(cells: DataFrame, size: float, shortest: float, slimmest: float, sparsest: float) -> DataFrame:
+    """Clusters (root, x, y, z cell centres) that look like the trail of a moving object: long, slim and dense enough."""
+    spans = [(F.max(c) - F.min(c) + size).alias("s" + c) for c in _XYZ]
+    made = cells.groupBy("root").agg(F.count("*").alias("cells"), *spans)
+    length, breadth = F.greatest("sx", "sy"), F.least("sx", "sy")
+    box = F.col("sx") * F.col("sy") * F.col("sz") / (size**3)
+    return made.where((length >= shortest) & (length / breadth >= slimmest) & (F.col("cells") / box >= sparsest))
+
+
 def image_folder(spark, path: str, glob: str = "*.jpg") -> DataFrame:
     """Images of a folder by name with time and position from EXIF."""
     from cartoflow.runtime import ship

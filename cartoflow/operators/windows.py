@@ -73,6 +73,13 @@ def budget(df: DataFrame, by: tuple[str, ...], order: tuple[str, ...], cost: str
     return df.withColumn("spent", F.sum(cost).over(w)).where(F.col("spent") <= most)
 
 
+def budget_kept(df: DataFrame, loaded: DataFrame, keys: tuple[str, ...], by: tuple[str, ...], order: tuple[str, ...], cost: str, most: float, slack: float = 0.2) -> DataFrame:
+    """A budget with hysteresis: rows loaded before stay until the prefix exceeds the budget by ``slack``."""
+    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    marked = df.withColumn("spent", F.sum(cost).over(w)).join(loaded.select(*keys).distinct().withColumn("__was", F.lit(True)), list(keys), "left")
+    return marked.where((F.col("spent") <= most) | (F.col("__was") & (F.col("spent") <= most * (1 + slack)))).drop("__was")
+
+
 def around(df: DataFrame, by: tuple[str, ...], column: str, anchor: float, rows: int) -> DataFrame:
     """The row nearest to the anchor in each group, and ``rows`` before and after it."""
     numbered = df.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(column)))

@@ -274,3 +274,39 @@ def odometry(spark, sf):
 
     p = points(spark, sf).where("frame_id < 8").select("submap_id", "frame_id", (F.col("frame_id") * 0.1).alias("stamp"), "t", "x", "y", "z")
     return run(p, "submap_id", 2.0, 4.0)
+
+
+@query(
+    f"""{P}, f AS (SELECT * FROM p WHERE ok % 7 = 0), z AS (SELECT * FROM f WHERE intensity = 0),
+    m AS (SELECT {", ".join("z." + c.strip() for c in IDS.split(","))}, avg(o.intensity) AS i FROM z JOIN f o ON o.intensity <> 0 AND pow(z.x - o.x, 2) + pow(z.y - o.y, 2) + pow(z.z - o.z, 2) <= 9 GROUP BY ALL)
+    SELECT {IDS}, round(CASE WHEN f.intensity = 0 THEN m.i ELSE f.intensity END, 8) + 0.0 AS intensity FROM f LEFT JOIN m USING ({IDS})"""
+)
+def livox_interpolate(spark, sf):
+    """Zero returns filled from the returns around them."""
+    p = points(spark, sf).where("ok % 7 = 0").select(*ORDER, "x", "y", "z", "intensity")
+    return r(ids(mapping.fill_zero_intensity(p, 3.0, ORDER), "intensity"), "intensity", digits=8)
+
+
+@query(f"{P} SELECT {IDS}, round(x + 2 * floor(t * 10000 + 1e-6) / 10000, 6) + 0.0 AS x, round(y - 3 * floor(t * 10000 + 1e-6) / 10000, 6) + 0.0 AS y FROM p")
+def deskew_poses(spark, sf):
+    """Deskew along a straight trajectory sampled at uneven times."""
+    p = points(spark, sf).withColumns({"stamp": F.col("frame_id").cast("double"), "t": F.col("t") + 1e-10})
+    zero = F.lit(0.0)
+    samples = spark.range(0, 50 * 7).select((F.col("id") / 7).alias("stamp"), F.lit(1).alias("s"))
+    poses = samples.select("s", "stamp", (F.col("stamp") * 2).alias("tx"), (F.col("stamp") * -3).alias("ty"), zero.alias("tz"), zero.alias("qx"), zero.alias("qy"), zero.alias("qz"), F.lit(1.0).alias("qw"))
+    return r(ids(numeric.deskew_with_poses(p.withColumn("s", F.lit(1)), poses, ("s",)), "x", "y"), "x", "y")
+
+
+@query(f"{T}, s AS (SELECT id, CAST(sum(CAST(round(x * 100) AS BIGINT)) OVER (PARTITION BY session, submap_id ORDER BY y, id) AS BIGINT) AS spent FROM tr) SELECT id, spent FROM s WHERE spent <= 50000 OR (id % 3 = 0 AND spent <= 60000)")
+def budget_hysteresis(spark, sf):
+    """What was loaded stays a little beyond the budget."""
+    t = path(spark, sf).withColumn("cost", F.round(F.col("x") * 100).cast("long"))
+    kept = windows.budget_kept(t, t.where("id % 3 = 0"), ("id",), ("session", "submap_id"), ("y", "id"), "cost", 50000)
+    return kept.select("id", "spent")
+
+
+@query()
+def flat_radius(spark, sf):
+    """The largest flat neighbourhood of a position."""
+    found = mapping.flat_radius(points(spark, sf), (1.0, 2.0, 0.0), [4.0, 8.0, 16.0, 32.0], 5, 0.2)
+    return spark.createDataFrame([(found,)], "radius double")

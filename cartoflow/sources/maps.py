@@ -137,3 +137,23 @@ def colmap_tables(points: DataFrame, cameras: DataFrame, centre, yaw: float, hal
     image_lines = near.select(F.format_string("%d %.9f %.9f %.9f %.9f %.6f %.6f %.6f 1 %s", F.col("cam").cast("long"), F.lit(1.0), F.lit(0.0), F.lit(0.0), F.lit(0.0), -F.col("x"), -F.col("y"), -F.col("z"), F.concat(F.lit("cam_"), F.col("cam").cast("string"), F.lit(".jpg"))).alias("line"))
     point_lines = inside.select(F.format_string("%.6f %.6f %.6f", "x", "y", "z").alias("line"))
     return camera_lines, image_lines, point_lines
+
+
+def bundler_lines(cameras: DataFrame, focal: float) -> DataFrame:
+    """Camera blocks of a Bundler file (identity rotation rows, negated position), one line of text a camera."""
+    return cameras.select(F.format_string(f"{focal:.6f} 0 0\n1 0 0\n0 1 0\n0 0 1\n%.6f %.6f %.6f", -F.col("x"), -F.col("y"), -F.col("z")).alias("line"))
+
+
+def blocks_exchange(cameras: DataFrame) -> DataFrame:
+    """Photo elements of a BlocksExchange document, one a camera; ``blocks_document`` wraps them."""
+    name = F.concat(F.lit("cam_"), F.col("cam").cast("string"), F.lit(".jpg"))
+    return cameras.select(F.format_string("<Photo><Id>%d</Id><ImagePath>%s</ImagePath><Pose><Center><x>%.6f</x><y>%.6f</y><z>%.6f</z></Center></Pose></Photo>", F.col("cam").cast("long"), name, "x", "y", "z").alias("line"))
+
+
+def blocks_document(photos: str, width: int, height: int, focal: float) -> str:
+    head = f"<ImageDimensions><Width>{width}</Width><Height>{height}</Height></ImageDimensions><FocalLengthPixels>{focal:.6f}</FocalLengthPixels>"
+    return f'<?xml version="1.0"?><BlocksExchange version="2.1"><Block><Photogroups><Photogroup>{head}{photos}</Photogroup></Photogroups></Block></BlocksExchange>'
+
+
+def manifest(stats: dict) -> str:
+    return json.dumps(stats, sort_keys=True)

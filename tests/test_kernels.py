@@ -354,3 +354,32 @@ def test_windowed_and_session_streams_close_by_watermark(spark, sf):
     whole = {(r.w.start, r.event_type): r.n for r in batch.collect()}
     assert closed and all(whole[k] == n for k, n in closed.items())
     assert streams.drain(streams.silent(s, "ts", "1 hour", "2 hours", "user_id")).count() > 0
+
+
+def test_edge_information_grows_with_certainty(spark):
+    p = cloud(spark, 60, 2)
+    a, b = (numeric.edge_information(p, p, np.eye(3), np.zeros(3), 0.5, s) for s in (0.1, 0.2))
+    assert np.allclose(a, 4 * b) and (np.linalg.eigvalsh(a) > 0).all()
+
+
+def test_flat_radius_stops_at_the_step(spark):
+    rng = np.random.default_rng(0)
+    flat = np.c_[rng.uniform(-10, 10, (400, 2)), rng.normal(0, 0.01, 400)]
+    flat[np.linalg.norm(flat[:, :2], axis=1) > 5, 2] += rng.uniform(0, 8, int((np.linalg.norm(flat[:, :2], axis=1) > 5).sum()))
+    p = spark.createDataFrame([tuple(map(float, v)) for v in flat], "x double, y double, z double")
+    assert mapping.flat_radius(p, (0, 0, 0), [2.0, 4.0, 9.0], 5) == 4.0
+
+
+def test_trails_are_long_and_slim(spark):
+    rows = [(1, float(i), 0.5, 0.5) for i in range(12)] + [(2, float(i % 3), float(i // 3), 0.5) for i in range(9)]
+    c = spark.createDataFrame(rows, "root int, x double, y double, z double")
+    assert [r.root for r in mapping.trails(c, 1.0, 5.0, 3.0, 0.5).collect()] == [1]
+
+
+def test_export_dialects(spark):
+    cams = spark.createDataFrame([(7, 1.0, 2.0, 3.0)], "cam int, x double, y double, z double")
+    assert maps.bundler_lines(cams, 320.0).first().line.endswith("-1.000000 -2.000000 -3.000000")
+    import xml.etree.ElementTree as tree
+
+    document = tree.fromstring(maps.blocks_document(maps.blocks_exchange(cams).first().line, 640, 480, 320.0))
+    assert document.find(".//Photo/Pose/Center/y").text == "2.000000"
