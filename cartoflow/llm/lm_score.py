@@ -1,19 +1,19 @@
-"""Language-model scores of whole texts by a weighted backoff automaton.
+"""Language-model scores of whole texts by a weighted backoff model.
 
 Tokens are words (A-Z lowered) and one end token a document.  The model is a backoff word
 n-gram model: the unigram level holds every token of the training documents with add-``ALPHA``
-smoothing, the higher levels hold every n-gram that makes up at least a share ``SHARE`` of
-the training tokens (and occurs twice), absolutely discounted.  Such n-grams are found level
-by level over all training text: an n-gram can only reach the share if both its (n-1)-grams
-do.  A share bounds each level by 1 / SHARE n-grams whatever the corpus holds, so the
-automaton can be broadcast; nothing is cut off by rank.
-
-N-grams are states with an arc per kept continuation and a failure arc, weighted by the
-backoff mass, to the next shorter context.  Scoring walks each document once from left to
-right, carrying the state, for many documents side by side.
-
-A token below the share lives on the unigram level only, where its probability depends on
-nothing but its count: those counts are joined by hash over the cluster and added per row.
+smoothing, the higher levels hold every n-gram that occurs ``LEAST`` times, at every size of
+the corpus, absolutely discounted.  ``Automaton`` is that model on one machine: n-grams are
+states with an arc per kept continuation and a failure arc, weighted by the backoff mass, to
+the next shorter context.
+
+Over the cluster the failure arcs' weights are pushed into the n-grams: a kept n-gram weighs
+log p less the log p of its last n - 1 words, less the backoff weight of its first n - 1, plus
+its own backoff weight as a context.  The walk's score is then the sum of the weights of all
+kept n-grams of a text, and counts, weights and look-ups are all joins by hash.  N-grams that
+make up a share ``SHARE`` of the training tokens are broadcast (at most 1 / SHARE a level) and
+looked up while reading; all others are sent in blocks to their weights.  The share moves work
+only, no score.
 
 Defined results: null text is empty (its only token is the end); a null id digests as the
 empty string; rows with equal ids are scored separately; without training documents every
@@ -22,20 +22,26 @@ count is 0; an empty table gives an empty result; further columns are ignored.
 
 from __future__ import annotations
 
+import functools
+import gc
 import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cartoflow.llm import textcore
-from cartoflow.llm.common import staged
+from cartoflow.llm.common import drop_staged, staged, staged_count
 from cartoflow.runtime import ship
 
 ORDER = 3
+#: Occurrences from which an n-gram is kept.
+LEAST = 2
+#: Share of the training tokens from which an n-gram is broadcast.
 SHARE = 1e-6
+#: Training tokens a bucket of n-grams.
+PER_BUCKET = 500_000
 ALPHA = 0.1
 DISCOUNT = 0.5
 #: Tokens of a part of a long document that is walked by itself.
@@ -216,81 +222,241 @@ class Automaton:
         return np.bincount(doc[order], total, len(length))
 
 
+def _grams(found: np.ndarray, at: np.ndarray, order: int):
+    """Of each level from 1 on the keys of all n-grams and, from 2 on, of their first and last n - 1 words, with their last token's place."""
+    position = np.arange(len(found)) - np.repeat(at[:-1], np.diff(at))
+    keys, where = found, np.arange(len(found))
+    yield keys, None, None, where
+    for level in range(2, order + 1):
+        inside = position[where[1:]] >= level - 1
+        first, last, where = keys[:-1][inside], keys[1:][inside], where[1:][inside]
+        keys = textcore.combine(first, last)
+        yield keys, first, last, where
+
+
+def _level(found: np.ndarray, at: np.ndarray, level: int):
+    *_, out = _grams(found, at, level)
+    return out
+
+
+def _dealt(keys: np.ndarray, buckets: int, *columns: np.ndarray):
+    """Per bucket of ``keys`` its number and its part of every column, as bytes."""
+    bucket = (keys % np.uint64(buckets)).astype(np.int32)
+    order = np.argsort(bucket, kind="stable")
+    numbers, starts = np.unique(bucket[order], return_index=True)
+    ends = np.append(starts, len(order))[1:]
+    columns = [c[order] for c in columns]
+    return numbers, [[c[a:b].tobytes() for a, b in zip(starts, ends, strict=True)] for c in columns]
+
+
+def _by_bucket(batches):
+    """The rows of each bucket of a partition sorted by bucket, as lists of values without the bucket."""
+    held, now = [], None
+    for batch in batches:
+        for bucket, *values in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if bucket != now and held:
+                yield held
+                held = []
+            now = bucket
+            held.append(values)
+    if held:
+        yield held
+
+
+def _count_level(training: DataFrame, level: int, buckets: int, name: str) -> DataFrame:
+    """k, a, b, c: the kept n-grams of a level, the keys of their first and last n - 1 words, and their counts."""
+
+    def deal(pending):
+        keys, first, last = (np.concatenate(x) for x in zip(*pending, strict=True))
+        keys, at, counts = np.unique(keys, return_index=True, return_counts=True)
+        order = np.argsort(first[at], kind="stable")
+        at, counts = at[order], counts[order].astype(np.int32)
+        numbers, (a, b, c) = _dealt(keys[order], buckets, first[at], last[at], counts)
+        return pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), *[pa.array(x, pa.binary()) for x in (a, b, c)]], names=["bucket", "a", "b", "c"])
+
+    def scan(batches):
+        pending, size = [], 0
+        for _, found, at in _token_blocks(batches, textcore.BLOCK_BYTES):
+            keys, first, last, _ = _level(found, at, level)
+            pending.append((keys, first, last))
+            size += len(keys)
+            if size >= _GATHER // 6:
+                yield deal(pending)
+                pending, size = [], 0
+        if size:
+            yield deal(pending)
+
+    def add(batches):
+        for held in _by_bucket(batches):
+            a, b = (np.concatenate([np.frombuffer(x[i], np.uint64) for x in held]) for i in (0, 1))
+            counts = np.concatenate([np.frombuffer(x[2], np.int32) for x in held])
+            keys, at, inverse = np.unique(textcore.combine(a, b), return_index=True, return_inverse=True)
+            total = np.bincount(inverse, counts, len(keys)).astype(np.int64)
+            kept = total >= LEAST
+            at = at[kept]
+            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (keys[kept], a[at], b[at])] + [pa.array(total[kept])], names=["k", "a", "b", "c"])
+
+    dealt = training.mapInArrow(scan, "bucket int, a binary, b binary, c binary")
+    return staged(dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(add, "k long, a long, b long, c long"), name)
+
+
+def _looked_up(rows: DataFrame, weights: DataFrame, shared, level: int, buckets: int, name: str) -> DataFrame:
+    """rid, w, base, n: the summed weights of a level's n-grams outside the broadcast in the rows of each ``rid``, and how many have one."""
+
+    def ask(batches):
+        for part, found, at in _token_blocks(batches, textcore.BLOCK_BYTES * 2):
+            keys, _, _, where = _level(found, at, level)
+            rid = np.repeat(part.column("rid").to_numpy(), np.diff(at))[where]
+            rest = _find(shared.value[level - 1][0], keys) < 0
+            numbers, (k, r) = _dealt(keys[rest], buckets, keys[rest], rid[rest])
+            yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(np.ones(len(numbers), np.int32)), pa.array(k, pa.binary()), pa.array(r, pa.binary())], names=["bucket", "kind", "k", "v"])
+
+    def tell(batches):
+        for batch in batches:
+            keys = batch.column("k").to_numpy().view(np.uint64)
+            numbers, (k, w) = _dealt(keys, buckets, keys, np.column_stack([batch.column("w").to_numpy(), batch.column("base").to_numpy()]))
+            yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(np.zeros(len(numbers), np.int32)), pa.array(k, pa.binary()), pa.array(w, pa.binary())], names=["bucket", "kind", "k", "v"])
+
+    def total(pending):
+        rid, w = (np.concatenate(x) for x in zip(*pending, strict=True))
+        rid, inverse = np.unique(rid, return_inverse=True)
+        sums = [np.bincount(inverse, w[:, i], len(rid)) for i in (0, 1)]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (rid, *sums, np.bincount(inverse, minlength=len(rid)))], names=["rid", "w", "base", "n"])
+
+    def answer(batches):
+        pending, size = [], 0
+        for held in _by_bucket(batches):
+            told = [x for x in held if x[0] == 0]
+            if not told:
+                continue
+            keys = np.concatenate([np.frombuffer(x[1], np.uint64) for x in told])
+            w = np.concatenate([np.frombuffer(x[2], np.float64).reshape(-1, 2) for x in told])
+            order = np.argsort(keys)
+            keys, w = keys[order], w[order]
+            for _, k, r in (x for x in held if x[0] == 1):
+                at = _find(keys, np.frombuffer(k, np.uint64))
+                hit = at >= 0
+                pending.append((np.frombuffer(r, np.int64)[hit], w[at[hit]]))
+                size += len(pending[-1][0])
+            if size >= _GATHER // 3:
+                yield total(pending)
+                pending, size = [], 0
+        if pending:
+            yield total(pending)
+
+    schema = "bucket int, kind int, k binary, v binary"
+    both = weights.select("k", "w", "base").mapInArrow(tell, schema).unionByName(rows.select("rid", "text").mapInArrow(ask, schema))
+    answered = both.repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(answer, "rid long, w double, base double, n long")
+    return staged(answered.groupBy("rid").agg(*[F.sum(x).alias(x) for x in ("w", "base", "n")]), name)
+
+
+def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """The place of each wanted key among the sorted ``keys``, or -1."""
+    if not len(keys):
+        return np.full(len(wanted), -1)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, at, -1)
+
+
+def _settle(spark) -> None:
+    """Lets go of what finished stages have shuffled."""
+    gc.collect()
+    spark._jvm.java.lang.System.gc()
+
+
 def lm_scores(docs: DataFrame, order: int = ORDER, share: float = SHARE) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of ``docs`` (doc_id, text)."""
-    ship(docs.sparkSession)
-    context = docs.sparkSession.sparkContext
+    spark, since = docs.sparkSession, staged_count()
+    ship(spark)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), (crc_of_id() % 10 == 0).alias("held_out"))
-    seen = rows.select("text", "held_out")
-    training = seen.where(~F.col("held_out"))
-
-    def count(df, keys_of, name):
-        return staged(df.mapInArrow(_counted(keys_of), "k long, c long").groupBy("k").agg(F.sum("c").alias("c")), name)
+    # rows with one rid are equal and have equal scores
+    rows = rows.withColumn("rid", F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.coalesce("text", F.lit(""))))
+    training = rows.where(~F.col("held_out")).select("text")
 
-    lexicon = count(training, lambda part, found, at: found, "lexicon")
+    counted = training.mapInArrow(_counted(lambda part, found, at: found), "k long, c long")
+    lexicon = staged(counted.groupBy("k").agg(F.sum("c").alias("c")), "lexicon")
     total, different = lexicon.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    least = max(2, math.ceil(share * total))
+    norm = total + ALPHA * (different + 1)
+    buckets = max(32, math.ceil(total / PER_BUCKET))
+    common = max(LEAST, math.ceil(share * total))
+
+    # k, c, p and, above the words, a, b and the p of b
+    levels = [lexicon.withColumn("p", (F.col("c") + F.lit(ALPHA)) / F.lit(float(norm)))]
+    backs = []
+    for level in range(2, order + 1):
+        low = levels[-1]
+        grown = _count_level(training, level, buckets, f"grams{level}")
+        _settle(spark)
+        made = grown.join(low.select(F.col("k").alias("a"), F.col("c").alias("context")), "a").join(low.select(F.col("k").alias("b"), F.col("p").alias("below")), "b")
+        made = staged(made.select("k", "a", "c", "below", ((F.col("c") - F.lit(DISCOUNT)) / F.col("context")).alias("p")), f"level{level}")
+        drop_staged(spark, staged_count() - 2)  # the counts alone
+        del grown
+        _settle(spark)
+        levels.append(made)
+        left = [F.greatest(1 - F.sum(x), F.lit(1e-12)) for x in ("p", "below")]
+        backs.append(staged(made.groupBy("a").agg(F.log10(left[0] / left[1]).alias("back")), f"backs{level}"))
+    weights = []
+    for i, made in enumerate(levels):
+        w = F.log10("p")
+        if i:
+            made = made.join(backs[i - 1], "a")
+            w = w - F.log10("below") - F.col("back")
+        made = made.select("k", "c", w.alias("w"), (F.lit(0.0) if i else w).alias("base"))
+        if i < len(backs):
+            made = made.join(backs[i].select(F.col("a").alias("k"), F.col("back").alias("own")), "k", "left").withColumn("w", F.col("w") + F.coalesce("own", F.lit(0.0))).drop("own")
+        weights.append(staged(made, f"weights{i + 1}"))
+    del levels, backs, made, lexicon, counted
+    drop_staged(spark, since, len(weights))
+    _settle(spark)
 
     def frequent(df):
         # at most 1 / share rows
-        found = df.where(F.col("c") >= least).toPandas()
-        return found["k"].to_numpy(np.int64).view(np.uint64), found["c"].to_numpy(np.int64)
+        columns = df.where(F.col("c") >= common).select("k", "w", "base").toPandas()
+        keys = columns["k"].to_numpy(np.int64).view(np.uint64)
+        by = np.argsort(keys)
+        return keys[by], columns["w"].to_numpy(np.float64)[by], columns["base"].to_numpy(np.float64)[by]
 
-    automaton = Automaton(*frequent(lexicon), int(total), int(different))
-    for _ in range(order - 1):
-        shared = context.broadcast(automaton)
-
-        def longer(part, found, at, shared=shared):
-            model = shared.value
-            return model.longer(model.word_ids(found), at)
-
-        grown = frequent(count(training, longer, "ngrams"))
-        if not len(grown[0]):
-            break
-        automaton.add_level(*grown)
-    shared = context.broadcast(automaton)
+    shared = spark.sparkContext.broadcast([frequent(df) for df in weights])
 
     def walk(batches):
-        model, pid, done = shared.value, TaskContext.get().partitionId(), 0
-        for part, found, at in _token_blocks(batches, textcore.BLOCK_BYTES * 8):
-            word = model.word_ids(found)
+        for part, found, at in _token_blocks(batches, textcore.BLOCK_BYTES * 2):
             n = len(part)
             owner = np.repeat(np.arange(n), np.diff(at))
-            known = word >= 0
-            # the arcs of the empty context come first, in word order
-            base = np.bincount(owner[known], model.logp[word[known]], n) if known.any() else np.zeros(n)
-            rare, rare_owner = found[~known], owner[~known]
-            by = np.argsort(rare_owner, kind="stable")
-            rare_at = np.searchsorted(rare_owner[by], np.arange(n + 1)).astype(np.int32)
+            score, base, known = np.zeros(n), np.zeros(n), np.zeros(n, np.int64)
+            for level, (keys, _, _, where) in enumerate(_grams(found, at, order)):
+                have, w, p = shared.value[level]
+                place = _find(have, keys)
+                hit = place >= 0
+                whose = owner[where[hit]]
+                score += np.bincount(whose, w[place[hit]], n)
+                if level == 0:
+                    base += np.bincount(whose, p[place[hit]], n)
+                    known += np.bincount(whose, minlength=n)
             yield pa.RecordBatch.from_arrays(
-                [
-                    part.column("doc_id"),
-                    part.column("held_out"),
-                    pa.array((np.int64(pid) << 40) + done + np.arange(n)),
-                    pa.array(np.diff(at)),
-                    pa.array(np.bincount(owner[known], minlength=n)),
-                    pa.array(base),
-                    pa.array(model.score(word, at)),
-                    pa.ListArray.from_arrays(pa.array(rare_at), pa.array(rare[by].view(np.int64))),
-                ],
-                names=["doc_id", "held_out", "rid", "n_tokens", "n_frequent", "base", "walk", "rare"],
+                [part.column("doc_id"), part.column("held_out"), part.column("rid"), pa.array(np.diff(at)), pa.array(known), pa.array(base), pa.array(score)],
+                names=["doc_id", "held_out", "rid", "n_tokens", "n_frequent", "base", "walk"],
             )
-            done += n
-
-    walked = staged(rows.mapInArrow(walk, "doc_id long, held_out boolean, rid long, n_tokens long, n_frequent long, base double, walk double, rare array<long>"), "walks")
-    # the unigram part of the tokens below the share
-    norm = automaton.norm
-    rare = walked.select("rid", F.explode("rare").alias("k")).join(lexicon, "k", "left")
-    part = F.sum(F.log10((F.coalesce("c", F.lit(0)) + F.lit(ALPHA)) / F.lit(norm)))
-    added = rare.groupBy("rid").agg(part.alias("part"), F.count("c").alias("hits"))
-    joined = walked.drop("rare").join(added, "rid", "left")
-    extra = F.coalesce("part", F.lit(0.0))
+
+    walked = staged(rows.mapInArrow(walk, "doc_id long, held_out boolean, rid long, n_tokens long, n_frequent long, base double, walk double"), "walks")
+    parts = []
+    for level, df in enumerate(weights, 1):
+        found = _looked_up(rows, df, shared, level, buckets, f"found{level}")
+        parts.append(found if level == 1 else found.withColumn("n", F.lit(0).cast("long")))
+        _settle(spark)
+    added = functools.reduce(DataFrame.unionByName, parts)
+    added = added.groupBy("rid").agg(F.sum("base").alias("base_part"), F.sum("w").alias("part"), F.sum("n").alias("n"))
+    copies = walked.groupBy("rid").agg(F.count("*").alias("copies"))
+    added = added.join(copies, "rid").select("rid", (F.col("base_part") / F.col("copies")).alias("base_part"), (F.col("part") / F.col("copies")).alias("part"), (F.col("n") / F.col("copies")).cast("long").alias("hits"))
+    joined = walked.join(added, "rid", "left")
+    known = F.col("n_frequent") + F.coalesce("hits", F.lit(0))
+    # words that training has not seen
+    unknown = (F.col("n_tokens") - known) * F.lit(math.log10(ALPHA / norm))
     return joined.select(
         "doc_id",
         "held_out",
         "n_tokens",
-        (F.col("n_frequent") + F.coalesce("hits", F.lit(0))).alias("n_known"),
+        known.alias("n_known"),
         F.lit(int(total)).cast("long").alias("train_tokens"),
-        (F.col("base") + extra).alias("base_score"),
-        (F.col("walk") + extra).alias("score"),
+        (F.col("base") + F.coalesce("base_part", F.lit(0.0)) + unknown).alias("base_score"),
+        (F.col("walk") + F.coalesce("part", F.lit(0.0)) + unknown).alias("score"),
     )

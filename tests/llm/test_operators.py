@@ -1,6 +1,7 @@
 """Each operator against a brute-force version on edge cases, and on an empty table and clashing columns."""
 
 import collections
+import functools
 import hashlib
 import math
 import re
@@ -234,6 +235,35 @@ def test_language_model(docs, texts):
     assert sorted(map(str, base)) == sorted(str((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5))) for r in got)
 
 
+@pytest.mark.parametrize("share", [1e-6, 0.02, 0.9])
+def test_language_model_keeps_what_occurs_twice(docs, texts, share):
+    """Scores are those of every n-gram that occurs twice, whatever share of the corpus is broadcast."""
+    rows = [(i, [*WORD.findall((t or "").translate(LOWER)), None], zlib.crc32(("" if i is None else str(i)).encode()) % 10 == 0) for i, t, *_ in texts]
+    count = collections.Counter(tuple(ws[j : j + n]) for _, ws, held in rows if not held for n in (1, 2, 3) for j in range(len(ws) - n + 1))
+    total, different = sum(c for g, c in count.items() if len(g) == 1), sum(len(g) == 1 for g in count)
+    kept = {g: c for g, c in count.items() if len(g) > 1 and c >= 2}
+    after = collections.defaultdict(list)
+    for g in kept:
+        after[g[:-1]].append(g[-1])
+
+    def p(context, word):
+        if not context:
+            return (count[word,] + 0.1) / (total + 0.1 * (different + 1))
+        if (*context, word) in kept:
+            return (kept[*context, word] - 0.5) / count[context]
+        return back(context) * p(context[1:], word)
+
+    @functools.cache
+    def back(context):
+        if context not in after:
+            return 1.0
+        return max(1 - sum(p(context, w) for w in after[context]), 1e-12) / max(1 - sum(p(context[1:], w) for w in after[context]), 1e-12)
+
+    want = [(i, round(sum(math.log10(p(tuple(ws[max(j - 2, 0) : j]), w)) for j, w in enumerate(ws)), 4)) for i, ws, _ in rows]
+    got = [(r.doc_id, round(r.score, 4)) for r in lm_score.lm_scores(docs, share=share).collect()]
+    assert sorted(map(str, want)) == sorted(map(str, got))
+
+
 def test_automaton_is_a_distribution():
     """The continuations of every state add up to one, and the walk equals step-by-step backoff."""
     rng = np.random.default_rng(0)
