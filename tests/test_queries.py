@@ -44,6 +44,16 @@ def test_runs(spark, sf, name):
     assert plans.QUERIES[name](spark, sf).count() > 0
 
 
+def test_pose_graph_holds_every_submap(spark, sf):
+    submaps = {r[0] for r in plans.path_queries.path(spark, sf).select("submap_id").distinct().collect()}
+    assert {r.id for r in plans.QUERIES["pose_graph_opt"](spark, sf).collect()} == submaps
+
+
+def test_odometry_runs_on_every_frame(spark, sf):
+    frames = {tuple(r) for r in plans.path_queries.points(spark, sf).select("submap_id", "frame_id").distinct().collect()}
+    assert {(r.submap_id, r.frame_id) for r in plans.QUERIES["odometry"](spark, sf).collect()} == frames
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
