@@ -9,11 +9,19 @@ import zipfile
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
+#: Bytes of an Arrow batch handed to a Python task, where the session has only Spark's own bound of 64 MB.
+BATCH_BYTES = 8 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once per application, so that Python tasks can import it there."""
+    """Send this package to the executors once per application, so that Python tasks can import it there.
+
+    Also bounds Arrow batches by bytes: by rows alone a batch of long texts has no bound.
+    """
     context = spark.sparkContext
+    if spark.conf.get(_BATCH, "") in ("67108864b", "64MB"):
+        spark.conf.set(_BATCH, BATCH_BYTES)
     if context.applicationId in _shipped:
         return
     _shipped.add(context.applicationId)
