@@ -31,13 +31,21 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_folder[0]
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+#: Rows of a narrow table that one file holds.
+FILE_ROWS = 500_000
+
+
+def staged(df: DataFrame, name: str, most_rows: int | None = None) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it again.
 
     Cuts the lineage: an executor lost later costs no recomputation of what came before,
-    and every reader sees the same rows.
+    and every reader sees the same rows.  Where the caller knows that the (narrow) table has at
+    most ``most_rows`` rows, it is written in files of about ``FILE_ROWS`` instead of one per
+    partition: each file costs its writer several calls, and on a local disk several processes.
     """
     spark = df.sparkSession
+    if most_rows is not None:
+        df = df.coalesce(max(1, -(-most_rows // FILE_ROWS)))
     path = f"{shared_dir(spark)}/staged/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     _staged.append(path)

@@ -19,7 +19,8 @@ def components(edges: DataFrame) -> DataFrame:
     def mark(df):
         return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
-    state = staged(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    bound = edges.count()
+    state = staged(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges", bound)
     seen = mark(state)
     while True:
         both = state.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(state.select(F.col("b").alias("u"), F.col("a").alias("v")))
@@ -27,7 +28,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
         lower = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(lower, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        state = staged(small.unionByName(lower.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        state = staged(small.unionByName(lower.select("a", F.col("m").alias("b"))).distinct(), "edges", 2 * seen[0])
         now = mark(state)
         if now == seen:
             break

@@ -388,3 +388,16 @@ def test_parsing_is_locally_consistent():
 
     x, y, z = names(a), names(b), names(shared)
     assert len(x & y) > 0.95 * len(z)
+
+
+def test_mixing_tilts_by_size(spark):
+    """Within a source rates are the capped exponential of the size: short documents of a reduced source stay, long ones go."""
+    rows = [(k, source, 10 + 7 * (k % 40)) for source in ("a", "b", "c") for k in range(400)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string, size long")).toPandas()
+    for _, of in got.groupby("source"):
+        rate = of.groupby("size").rate.first()
+        free = rate[(rate < 3) & (rate > 1e-3)]
+        assert len(free) > 5 and rate.nunique() > 5
+        slope = np.log(free.to_numpy()) / free.index.to_numpy()
+        assert np.allclose(slope, slope.mean(), rtol=1e-3)
+        assert of.taken.sum() == pytest.approx(of.target.iloc[0], rel=1e-3)
