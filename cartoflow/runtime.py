@@ -20,7 +20,7 @@ def ship(spark: SparkSession) -> None:
     Also bounds Arrow batches by bytes: by rows alone a batch of long texts has no bound.
     """
     context = spark.sparkContext
-    if spark.conf.get(_BATCH, "") in ("67108864b", "64MB"):
+    if spark.conf.get(_BATCH) in ("67108864b", "64MB"):
         spark.conf.set(_BATCH, BATCH_BYTES)
     if context.applicationId in _shipped:
         return
