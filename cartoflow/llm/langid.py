@@ -2,22 +2,26 @@
 
 A word that the model knows adds its log frequency in each language; an unseen word falls
 back to its longest known character n-grams, five characters first, then four, down to one.
+Words are runs of Unicode letters (categories L*).
 
 The model is fitted on a bounded sample of the labelled rows: about ``TRAIN_DOCS`` documents
-of each language (chosen by a hash of the id, so reruns agree), reduced to the ``MOST_WORDS``
-most frequent words and the ``MOST_GRAMS`` most frequent n-grams of each length.  These four
-numbers bound what is collected and broadcast, whatever the corpus holds.
+of each language, chosen by a hash of id and text, so reruns agree.  Every word and n-gram of
+that sample is kept, those seen once too; the sample alone bounds what is collected and
+broadcast, whatever the corpus holds.
 
 Defined results: null text, and text without a letter, gives ``und`` with score 0; a null
-label is never learned from; without any labelled row every document is ``und``; a null id
-counts as held out only if its digest says so (null digests as the empty string); rows with
-equal ids are predicted separately; further columns are ignored.
+label is never learned from; without any labelled row every document is ``und``; equal scores
+go to the first language in code-point order; a null id counts as held out only if its digest
+says so (null digests as the empty string); rows with equal ids are predicted separately; a
+very long text is read whole, one at a time; an empty table gives an empty result; further
+columns are ignored.
 """
 
 from __future__ import annotations
 
 import pickle
 import re
+import sys
 from collections import Counter
 
 import numpy as np
@@ -29,12 +33,24 @@ from cartoflow.llm.common import staged
 from cartoflow.runtime import ship
 
 TRAIN_DOCS = 3000
-MOST_WORDS = 60_000
-MOST_GRAMS = 40_000
 LONGEST = 5
 #: Words whose backoff scores a worker remembers.
 _REMEMBERED = 300_000
-_LETTERS = re.compile(r"[^\W\d_]+")
+
+
+def _letters() -> re.Pattern:
+    """Runs of letters: what ``\\w`` takes besides letters (other digits, fractions, letter-like numbers) is left out as ranges."""
+    other = [c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal()]
+    ranges: list[list[str]] = []
+    for c in other:
+        if ranges and ord(c) == ord(ranges[-1][1]) + 1:
+            ranges[-1][1] = c
+        else:
+            ranges.append([c, c])
+    return re.compile(r"[^\W\d_" + "".join(f"{a}-{b}" for a, b in ranges) + "]+")
+
+
+_LETTERS = _letters()
 
 
 def held_out(column: str = "doc_id"):
@@ -48,12 +64,12 @@ def _grams(word: str, n: int) -> list[str]:
 
 
 def _count(batches):
-    """Word and n-gram counts by language of one partition of the training sample."""
+    """Word and n-gram counts by language (its place) of one partition of the training sample."""
     for batch in batches:
-        words: dict[str, Counter] = {}
-        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            words.setdefault(lang, Counter()).update(_LETTERS.findall(text.as_py().lower()))
-        for lang, counts in words.items():
+        words: dict[int, Counter] = {}
+        for place, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            words.setdefault(place, Counter()).update(_LETTERS.findall(text.as_py().lower()))
+        for place, counts in words.items():
             sets = [Counter() for _ in range(LONGEST)]
             for word, c in counts.items():
                 for n in range(1, LONGEST + 1):
@@ -61,33 +77,37 @@ def _count(batches):
                         sets[n - 1][g] += c
             for n, found in enumerate([counts, *sets]):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(found)), pa.array([n] * len(found), pa.int32()), pa.array(list(found)), pa.array(list(found.values()), pa.int64())],
-                    names=["lang", "n", "gram", "c"],
+                    [pa.array([place] * len(found), pa.int32()), pa.array([n] * len(found), pa.int32()), pa.array(list(found)), pa.array(list(found.values()), pa.int64())],
+                    names=["place", "n", "gram", "c"],
                 )
 
 
 class WordFirst:
-    """The fitted tables: words first, then n-grams by length, each a place in a matrix of log frequencies by language."""
+    """The fitted tables: words first, then n-grams by length, each a place in a matrix of log frequencies by language.
+
+    Travels as Arrow strings and matrices; the places are looked up where texts are predicted.
+    """
 
-    def __init__(self, langs: list[str], tables: list[tuple[list[str], np.ndarray]]):
+    def __init__(self, langs: list[str], tables: list[tuple[pa.Array, np.ndarray]]):
         self.langs = langs
         self.width = max(len(langs), 1)
-        self.places, self.logs = [], []
+        self.grams = [grams for grams, _ in tables]
+        self.logs = []
         for grams, counts in tables:
-            floor = np.log(counts.sum(axis=0) + 0.5 * max(len(grams), 1))
-            self.places.append({g: k for k, g in enumerate(grams)})
+            floor = np.log(counts.sum(axis=0, dtype=np.float64) + 0.5 * max(len(grams), 1))
             self.logs.append((np.log(counts + 0.5) - floor).astype(np.float32))
         self.start()
 
     def start(self):
+        self.places: list[dict[str, int]] | None = None
         self.index: dict[str, int] = {}
         self.rows = np.zeros((1024, self.width), np.float32)
 
     def __getstate__(self):
-        return self.langs, self.width, self.places, self.logs
+        return self.langs, self.width, self.grams, self.logs
 
     def __setstate__(self, state):
-        self.langs, self.width, self.places, self.logs = state
+        self.langs, self.width, self.grams, self.logs = state
         self.start()
 
     def score_word(self, word: str) -> np.ndarray:
@@ -113,8 +133,11 @@ class WordFirst:
         words = _LETTERS.findall(text.lower()) if text else []
         if not words or not self.langs:
             return "und", 0.0
+        if self.places is None:
+            self.places = [dict(zip(grams.to_pylist(), range(len(grams)), strict=True)) for grams in self.grams]
+            self.grams = [x.slice(0, 0) for x in self.grams]
         if len(self.index) > _REMEMBERED:
-            self.start()
+            self.index, self.rows = {}, np.zeros((1024, self.width), np.float32)
         get, place = self.index.get, self.place
         at = [k if (k := get(w)) is not None else place(w) for w in words]
         total = self.rows[at].sum(axis=0, dtype=np.float64)
@@ -122,23 +145,28 @@ class WordFirst:
         return self.langs[best], float(1.0 / np.exp(np.maximum(total - total[best], -700.0)).sum())
 
 
-def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS, most_words: int = MOST_WORDS, most_grams: int = MOST_GRAMS) -> WordFirst:
+def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> WordFirst:
     ship(docs.sparkSession)
-    labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()).select("doc_id", "lang", "text")
+    labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()).select("doc_id", F.col("lang").cast("string"), "text")
     sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not sizes:
-        return WordFirst([], [([], np.zeros((0, 1))) for _ in range(LONGEST + 1)])
-    rate = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, train_docs / n))])
-    share = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / F.lit(1_000_003.0)
-    sample = labelled.where(share < F.element_at(rate, F.col("lang"))).select("lang", "text")
-    counts = sample.mapInArrow(_count, "lang string, n int, gram string, c long").groupBy("n", "gram", "lang").agg(F.sum("c").alias("c"))
     langs = sorted(sizes)
-    by_lang = [F.sum(F.when(F.col("lang") == x, F.col("c")).otherwise(0)).cast("double").alias(f"l{k}") for k, x in enumerate(langs)]
-    wide = staged(counts.groupBy("n", "gram").agg(*by_lang, F.sum("c").alias("all")).where("n > 0 or `all` > 1"), "grams")
+    empty = (pa.array([], pa.string()), np.zeros((0, max(len(langs), 1)), np.float32))
+    if not sizes:
+        return WordFirst([], [empty] * (LONGEST + 1))
+    # one row a language
+    told = docs.sparkSession.createDataFrame([(x, min(1.0, train_docs / sizes[x]), k) for k, x in enumerate(langs)], "lang string, rate double, place int")
+    share = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_003)) / F.lit(1_000_003.0)
+    sample = labelled.join(F.broadcast(told), "lang").where(share < F.col("rate")).select("place", "text")
+    counts = sample.mapInArrow(_count, "place int, n int, gram string, c long").groupBy("n", "gram", "place").agg(F.sum("c").alias("c"))
+    counts = staged(counts, "grams")
     tables = []
     for n in range(LONGEST + 1):
-        rows = wide.where(F.col("n") == n).orderBy(F.desc("all"), "gram").limit(most_grams if n else most_words).toPandas()
-        tables.append((rows["gram"].tolist(), rows[[f"l{k}" for k in range(len(langs))]].to_numpy(float)))
+        rows = counts.where(F.col("n") == n).select("gram", "place", "c").toArrow()
+        coded = rows.column("gram").combine_chunks().dictionary_encode()
+        coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
+        matrix = np.zeros((len(coded.dictionary), len(langs)), np.float32)
+        matrix[coded.indices.to_numpy(), rows.column("place").to_numpy()] = rows.column("c").to_numpy()
+        tables.append((coded.dictionary.cast(pa.string()), matrix))
     return WordFirst(langs, tables)
 
 
@@ -172,5 +200,3 @@ def identify(docs: DataFrame, **bounds) -> DataFrame:
     """doc_id, held_out, lang_pred, score for every document."""
     found = predict(docs.select("doc_id", "text"), fit(docs, **bounds))
     return found.select("doc_id", held_out().alias("held_out"), F.col("__lang_pred").alias("lang_pred"), F.col("__score").alias("score"))
-
-

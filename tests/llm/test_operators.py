@@ -401,3 +401,41 @@ def test_mixing_tilts_by_size(spark):
         slope = np.log(free.to_numpy()) / free.index.to_numpy()
         assert np.allclose(slope, slope.mean(), rtol=1e-3)
         assert of.taken.sum() == pytest.approx(of.target.iloc[0], rel=1e-3)
+
+
+def test_language_id_letters():
+    """Numbers that look like letters are none; every Unicode letter is."""
+    assert langid._LETTERS.findall("½ ² Ⅷ ① 12 _ !") == []
+    assert langid._LETTERS.findall("straße 漢字 a1b x²y ªº") == ["straße", "漢字", "a", "b", "x", "y", "ªº"]
+
+
+def test_language_id_equals_brute_force(spark):
+    """Every word and n-gram of the training rows counts, words first, then the longest known n-grams."""
+    words = {"en": "cheese cat house water the bread", "fr": "fromage chat maison eau le pain", "de": "katze haus wasser das brot und"}
+    rows = [(k, " ".join(w for j, w in enumerate(words[lang].split()) if (k >> j) & 1 or j == k % 6) + f" {lang}x{k}", lang) for k in range(90) for lang in [sorted(words)[k % 3]]]
+    rows += [(900, "cheesecat maisonette", None), (901, "wasserhaus qqq", None), (902, "zz", None)]
+    train = [(t, lang) for i, t, lang in rows if lang and zlib.crc32(str(i).encode()) % 4 != 2]
+    langs, pattern = sorted(words), re.compile(r"[^\W\d_]+")
+
+    def grams(w, n):
+        return [w] if n == 0 else list(w) if n == 1 else [f"<{w}>"[i : i + n] for i in range(len(w) + 3 - n)]
+
+    count = [collections.Counter((lang, g) for t, lang in train for w in pattern.findall(t.lower()) for g in grams(w, n)) for n in range(6)]
+    seen = [{g for _, g in c} for c in count]
+    floor = [[math.log(sum(c for (x, _), c in count[n].items() if x == lang) + 0.5 * len(seen[n])) for lang in langs] for n in range(6)]
+
+    def value(n, g):
+        return np.array([math.log(count[n][lang, g] + 0.5) - floor[n][k] for k, lang in enumerate(langs)])
+
+    def word(w):
+        for n in (0, 5, 4, 3, 2, 1):
+            known = [g for g in grams(w, n) if g in seen[n]]
+            if known:
+                return sum(value(n, g) for g in known) / len(known)
+        return np.zeros(3)
+
+    got = {r.doc_id: r for r in langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    for i, t, _ in rows:
+        total = sum((word(w) for w in pattern.findall(t.lower())), np.zeros(3))
+        assert got[i].lang_pred == langs[int(total.argmax())]
+        assert got[i].score == pytest.approx(float(1 / np.exp(total - total.max()).sum()), rel=1e-4)
