@@ -439,3 +439,58 @@ def test_language_id_equals_brute_force(spark):
         total = sum((word(w) for w in pattern.findall(t.lower())), np.zeros(3))
         assert got[i].lang_pred == langs[int(total.argmax())]
         assert got[i].score == pytest.approx(float(1 / np.exp(total - total.max()).sum()), rel=1e-4)
+
+
+def test_personal_data_added_spans(spark):
+    """What the trees add, against candidates, features and trees in plain Python."""
+    import random
+
+    rng = random.Random(3)
+
+    def card(valid):
+        body = "4" + "".join(rng.choice("0123456789") for _ in range(14))
+        return next(f"{body}{c}" for c in "0123456789" if luhn(f"{body}{c}") == valid)
+
+    texts = []
+    for k in range(240):
+        texts += [f"please pay card {card(True)} today", f"item number.{card(False)}", "pay card " + ".".join(re.findall("....", card(True))) + " ok", f"write to mail joe{k}@site{k}.org now", f"ratio {k} @ 1.{k} here", f"contact mail ann{k} (at) host{k} (dot) net soon"]
+        texts += [f"host server 10.{k % 250}.3.{k % 200} up", f"version 1.{k}.3.999 out", f"call phone +49 30 12{k:04d}9 or", f"fax 00{k % 90 + 10} 3045 1234 5678 x", f"on 2024-01-{k % 28 + 1:02d} 10 30"]
+    rng.shuffle(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    models = pii.fit(df)
+    got = {r.doc_id: r.spans for r in pii.digest(df).select("doc_id", "spans").collect()}
+
+    def features(kind, text, m):
+        near, after = text[max(m.start() - pii.AROUND, 0) : m.start()].lower(), text[m.end() : m.end() + 1]
+        side = lambda c: 0 if not c else 1 if re.match("[A-Za-z0-9]", c) else 2 if re.match(r"\s", c) else 3
+        flat = re.sub(r"[(\[](at|dot)[)\]]", ".", m[0]) if kind == "email" else m[0].lstrip("+(")
+        groups = re.split("[^A-Za-z0-9]+" if kind == "email" else "[^0-9]+", flat)
+        tail = re.search("([A-Za-z]*)$" if kind == "email" else "([0-9]*)$", m[0])[1]
+        return near, [min(len(re.sub("[^0-9]", "", m[0])), 24), min(len(groups), 8), side(near[-1:]), side(after), int(bool(re.search(pii.CONTEXT[kind], near))), min(len(tail), 7)]
+
+    def out(kind, s, near):
+        d = re.sub("[^0-9]", "", s)
+        if kind == "email":
+            return not re.search("[A-Za-z]{2,}$", s)
+        if kind == "ip":
+            return any(int(p) > 255 for p in re.split("[.,]", s)) or "," in s or bool(re.search(r"(version|release|section|chapter|v)[. ]?$|[0-9A-Za-z][.,]$", near))
+        if kind == "card":
+            return not luhn(d) or bool(re.search("[0-9A-Za-z.,]$", near))
+        return not 8 <= len(d) <= 15 or bool(re.search("(19|20)[0-9]{2}[-./ ][01]?[0-9][-./ ][0-3]?[0-9]", s)) or bool(re.search("[0-9A-Za-z.,]$", near))
+
+    added = collections.Counter()
+    for i, text in enumerate(texts):
+        base = [(k, int(a), int(b)) for k, a, b in (x.split(":") for x in base_spans(text))]
+        want = list(base)
+        for kind in pii.KINDS:
+            for m in re.finditer(pii.LOOSE[kind], text):
+                near, f = features(kind, text, m)
+                if any(a < m.end() and m.start() < b for _, a, b in base) or out(kind, m[0], near):
+                    continue
+                model = models[kind]
+                if model.start + sum(model._leaves(t, np.array([f]))[0] for t in model.trees) >= model.threshold - 1e-9:
+                    want.append((kind, m.start(), m.end()))
+                    added[kind] += 1
+        want.sort(key=lambda x: (pii.KINDS.index(x[0]), x[1]))
+        assert got[i] == ",".join(f"{k}:{a}:{b}" for k, a, b in want)
+    assert added["email"] == 240 and added["card"] == 240 and not any("version" in texts[i] for i, x in got.items() if x)
