@@ -7,25 +7,30 @@ difference, and each of those into second-level parts, of which all subsets that
 out are enumerated (small k: one first-level part, of which all halves are enumerated).  Two
 sets that are similar enough share at least one signature: no link is lost.
 
-Equal sets are one class, and only classes go on.  Classes that share a signature are tied by
-star edges to the smallest class of the signature, never as all pairs; the connected units of
-those ties are verified exactly, block against block, inside tasks that return a spanning
-forest and link counts instead of pairs.  A large unit is split into blocks of ``BLOCK``
-classes in size order, and block pairs whose sizes cannot match are left out.
+Equal sets are one class, and only classes go on: one text of each is signed.  Classes that
+share a signature are tied to the smallest class of the signature, found by an aggregate with
+map-side partials, never as all pairs; the connected units of those ties are verified exactly,
+block against block, inside tasks that return a spanning forest and link counts instead of
+pairs.  A unit's classes are dealt to blocks of about ``BLOCK`` by size band and hash, and only
+blocks of one band or of neighbouring bands meet, so a large unit is the work of many tasks.
+The number of such meetings grows with the square of the different texts of one unit and band:
+the links themselves, which are counted one by one, do too.
 
 Defined results: null text counts as empty; a document without words has the empty set, links
-with nothing and is its own component; fewer words than w give one shingle of all words; rows
-with equal ids and texts are linked like any copies; a null id never names a component unless
-it has no other member; an empty table gives an empty result; further columns are ignored.
+with nothing and is its own component; fewer words than w give one shingle of all words; a
+very long text is one set; rows with equal ids and texts are linked like any copies; a null id
+never names a component unless it has no other member; an empty table gives an empty result;
+further columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cartoflow.llm import textcore
@@ -39,8 +44,8 @@ SECOND = 3
 SMALL_K = 3
 #: Classes verified against each other at once.
 BLOCK = 512
-#: Keys (16 bytes each) of the classes to verify that are broadcast to the scan instead of shuffling the texts.
-MOST_BROADCAST = 2_000_000
+#: Rows of three numbers up to which a table is broadcast to a scan; beyond, both sides are shuffled.
+MOST_BROADCAST = 1_000_000
 
 
 class Scheme:
@@ -234,8 +239,15 @@ def _verify(num, den):
     return run
 
 
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= MOST_BROADCAST else df
+
+
 def jaccard_components(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles, component_id, n_links, text_hash of every row of ``docs`` (doc_id, text)."""
+    """doc_id, n_shingles, component_id, n_links, text_hash, root of every row of ``docs`` (doc_id, text).
+
+    ``root`` names the component by its sets: rows of one id and different texts have roots of their own.
+    """
     ship(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long"), text_or_empty().cast("string").alias("text"))
     keyed = rows.withColumn("text_hash", F.xxhash64("text"))
@@ -246,36 +258,42 @@ def jaccard_components(docs: DataFrame, width: int = 3, num: int = 90, den: int
 
     def sign(batches):
         scheme = Scheme(num, den)
-        for _, values, offsets in _blocks(batches, width):
+        for part, values, offsets in _blocks(batches, width):
             owner, found = signatures(values, offsets, scheme)
-            yield pa.RecordBatch.from_arrays([_long(found), _long(classes(values, offsets)[owner])], names=["sig", "cls"])
+            yield pa.RecordBatch.from_arrays([_long(found), pa.array(part.column("cls").to_numpy()[owner])], names=["sig", "cls"])
 
     def sets(batches):
         for part, values, offsets in _blocks(batches, width):
             yield pa.RecordBatch.from_arrays([part.column("cls"), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), _long(values))], names=["cls", "elements"])
 
     described = staged(keyed.mapInArrow(describe, "doc_id long, text_hash long, n long, cls long"), "sets")
-    signed = rows.select("text").mapInArrow(sign, "sig long, cls long")
-    center = F.min("cls").over(Window.partitionBy("sig"))
-    ties = staged(signed.withColumn("center", center).where("cls <> center").select(F.col("cls").alias("a"), F.col("center").alias("b")).distinct(), "ties")
     class_docs = staged(
         described.where("cls <> 0").groupBy("cls").agg(F.count("*").alias("docs"), F.min("doc_id").alias("least"), F.min("n").alias("n"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("example")),
         "classes",
     )
+    texts = keyed.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("k"), "text_hash", "text")
+
+    def example(of):
+        return of.select("cls", F.coalesce("example.doc_id", F.lit(-(2**63))).alias("k"), F.col("example.text_hash").alias("text_hash"))
+
+    signed = texts.join(_small(example(class_docs)), ["k", "text_hash"]).select("cls", "text").mapInArrow(sign, "sig long, cls long")
+    crowded = signed.groupBy("sig").agg(F.min("cls").alias("center"), F.max("cls").alias("other")).where("center <> other").select("sig", "center")
+    crowded = staged(crowded, "crowded")
+    ties = staged(signed.join(_small(crowded), "sig").where("cls <> center").select(F.col("cls").alias("a"), F.col("center").alias("b")).distinct(), "ties")
     units = components(ties)
-    w = Window.partitionBy("unit").orderBy("n", "cls")
     members = units.select(F.col("node").alias("cls"), F.col("root").alias("unit")).join(class_docs, "cls")
-    members = staged(members.withColumn("block", F.floor((F.row_number().over(w) - 1) / F.lit(BLOCK)).cast("int")).select("unit", "cls", "block", "docs", "n", F.col("example.doc_id").alias("doc_id"), F.col("example.text_hash").alias("text_hash")), "members")
+    # sizes of similar sets differ by den / num at most, so they are of one band or of neighbouring ones
+    members = members.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / math.log(den / num) + 1e-9).cast("long"))
+    dealt = members.groupBy("unit", "band").agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("slots"))
+    slot = F.pmod(F.xxhash64("cls"), F.col("slots"))
+    members = members.join(dealt, ["unit", "band"]).withColumn("block", F.col("band") * F.lit(1 << 32) + slot)
+    members = staged(members.select("unit", "cls", "block", "docs", "n", "example"), "members")
     spans = members.groupBy("unit", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
     l, r = spans.alias("l"), spans.alias("r")
     matched = l.join(r, (F.col("l.unit") == F.col("r.unit")) & (F.col("l.block") <= F.col("r.block")) & (F.col("l.hi") * den >= F.col("r.lo") * num))
     pairs = matched.select(F.col("l.unit").alias("unit"), F.col("l.block").alias("first"), F.col("r.block").alias("second"))
     sides = pairs.select("unit", "first", "second", F.explode(F.array_distinct(F.array("first", "second"))).alias("block"))
-    texts = keyed.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("k"), "text_hash", "text")
-    chosen = members.select("cls", F.coalesce("doc_id", F.lit(-(2**63))).alias("k"), "text_hash")
-    if members.count() <= MOST_BROADCAST:
-        chosen = F.broadcast(chosen)  # else the texts are shuffled to them
-    examples = texts.join(chosen, ["k", "text_hash"]).select("cls", "text").mapInArrow(sets, "cls long, elements array<long>")
+    examples = texts.join(_small(example(members)), ["k", "text_hash"]).select("cls", "text").mapInArrow(sets, "cls long, elements array<long>")
     examples = staged(examples.dropDuplicates(["cls"]), "examples")
     work = members.select("unit", "block", "cls", "docs").join(sides, ["unit", "block"]).join(examples, "cls")
     work = work.select("unit", "first", "second", "cls", "block", "docs", "elements")
@@ -286,5 +304,7 @@ def jaccard_components(docs: DataFrame, width: int = 3, num: int = 90, den: int
     owned = class_docs.join(joined.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     named = owned.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("members"))
     informed = owned.join(named, "root").join(degree, "cls", "left").where("docs > 1 or members > 1")
-    informed = informed.select("cls", "component_id", (F.coalesce("links", F.lit(0)) + F.col("docs") - 1).alias("n_links"))
-    return described.join(informed, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "text_hash")
+    informed = informed.select("cls", "component_id", (F.coalesce("links", F.lit(0)) + F.col("docs") - 1).alias("n_links"), "root")
+    told = described.join(informed, "cls", "left")
+    root = F.coalesce("root", F.when(F.col("cls") != 0, F.col("cls")))
+    return told.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "text_hash", root.alias("root"))

@@ -50,7 +50,7 @@ def op7_packing(spark, sf_dir):
 
 
 def op8_jaccard_join(spark, sf_dir):
-    return ngram_join.jaccard_components(documents(spark, sf_dir)).drop("text_hash")
+    return ngram_join.jaccard_components(documents(spark, sf_dir)).drop("text_hash", "root")
 
 
 def op9_language_id(spark, sf_dir):
