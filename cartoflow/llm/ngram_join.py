@@ -7,11 +7,18 @@ difference, and each of those into second-level parts, of which all subsets that
 out are enumerated (small k: one first-level part, of which all halves are enumerated).  Two
 sets that are similar enough share at least one signature: no link is lost.
 
+A part that chance leaves without shingles would give unrelated sets one signature.  With
+``spare`` parts beyond the least number, ``spare + 1`` parts hold at most one difference, so a
+set in which at most ``spare`` parts have a blank signature shares one that is not blank with
+each similar set, and emits no blank ones; the few other sets emit theirs.
+
 Equal sets are one class, and only classes go on: one text of each is signed.  Classes that
-share a signature are tied to the smallest class of the signature, found by an aggregate with
-map-side partials, never as all pairs; the connected units of those ties are verified exactly,
+share a signature are tied to a smallest class of the signature, never as all pairs: within
+a task first, so that each task sends a signature once, then over all tasks; the connected units of those ties are verified exactly,
 block against block, inside tasks that return a spanning forest and link counts instead of
-pairs.  A unit's classes are dealt to blocks of about ``BLOCK`` by size band and hash, and only
+pairs.  Passages that many documents share can tie more classes into one unit than a block
+holds; such a unit is first cut by parity bitmaps, whose distance never exceeds that of the
+sets.  A unit's classes are dealt to blocks of about ``BLOCK`` by size band and hash, and only
 blocks of one band or of neighbouring bands meet, so a large unit is the work of many tasks.
 The number of such meetings grows with the square of the different texts of one unit and band:
 the links themselves, which are counted one by one, do too.
@@ -34,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cartoflow.llm import textcore
-from cartoflow.llm.common import staged, text_or_empty
+from cartoflow.llm.common import shuffle_partitions, staged, text_or_empty
 from cartoflow.llm.graph import components
 from cartoflow.llm.textcore import combine, mix
 from cartoflow.runtime import ship
@@ -42,8 +49,12 @@ from cartoflow.runtime import ship
 #: Second-level parts of each first-level part, where k is above SMALL_K.
 SECOND = 3
 SMALL_K = 3
+#: Signatures that a task gathers before it sends them.
+GATHER = 2_000_000
 #: Classes verified against each other at once.
 BLOCK = 512
+#: Classes whose bitmaps are compared at once.
+WIDE = 2048
 #: Rows of three numbers up to which a table is broadcast to a scan; beyond, both sides are shuffled.
 MOST_BROADCAST = 1_000_000
 
@@ -68,6 +79,15 @@ class Scheme:
         largest = self.edges[tag + 2] - 1
         return 2 * largest * (self.den - self.num) // (self.den + self.num)
 
+    def spare_parts(self, tag: int) -> int:
+        """First-level parts beyond the least number: about 1.5 times those that chance leaves without a signature in the smallest sets."""
+        k, spare = self.most_differences(tag), 0
+        for _ in range(4):
+            parts = k // 2 + 1 + spare
+            blank = parts * min(1.0, SECOND * math.exp(-self.edges[tag] / parts * (SECOND - 1) / SECOND))
+            spare = min(math.ceil(1.5 * blank - 0.05), k // 4) if blank > 0.03 else 0
+        return spare
+
 
 def shingle_sets(flat: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of each document, ascending within it, and their n + 1 offsets."""
@@ -119,12 +139,14 @@ def signatures(values: np.ndarray, offsets: np.ndarray, scheme: Scheme) -> tuple
     member = np.repeat(np.arange(len(sizes)), sizes)
     for shift in (0, -1):
         tags = bands + shift
-        k = np.full(len(sizes), -1)
+        k, spare = np.full(len(sizes), -1), np.zeros(len(sizes), np.int64)
         for tag in np.unique(tags[(sizes > 0) & (tags >= 0)]):
-            k[(tags == tag) & (sizes > 0)] = scheme.most_differences(int(tag))
+            of = (tags == tag) & (sizes > 0)
+            k[of] = scheme.most_differences(int(tag))
+            spare[of] = scheme.spare_parts(int(tag))
         wanted = k > 0  # no difference: the class itself
         one_part = wanted & (k <= SMALL_K)
-        parts = np.where(one_part, 1, k // 2 + 1)
+        parts = np.where(one_part, 1, k // 2 + 1 + spare)
         second = np.where(one_part, 2 * k, SECOND)
         slots = np.where(wanted, parts * second, 0)
         base = np.concatenate([[0], np.cumsum(slots)])
@@ -133,6 +155,7 @@ def signatures(values: np.ndarray, offsets: np.ndarray, scheme: Scheme) -> tuple
         slot = base[own] + (place[use] % slots[own].astype(np.uint64)).astype(np.int64)
         sums = np.bincount(slot, low[use], base[-1]).astype(np.uint64) + (np.bincount(slot, high[use], base[-1]).astype(np.uint64) << np.uint64(32))
         sums = mix(sums + np.uint64(1))
+        held = np.bincount(slot, minlength=base[-1])
         # leave one second-level part out
         large = np.flatnonzero(wanted & ~one_part)
         if len(large):
@@ -141,9 +164,14 @@ def signatures(values: np.ndarray, offsets: np.ndarray, scheme: Scheme) -> tuple
             left = cube.sum(axis=1, dtype=np.uint64)[:, None] - cube
             owner = np.repeat(large, parts[large])
             part = np.arange(len(owner)) - np.repeat(np.concatenate([[0], np.cumsum(parts[large])[:-1]]), parts[large])
+            # a signature of no shingle says nothing; a set may do without where few of its parts have one
+            rest = held[at].reshape(-1, SECOND)
+            blank = rest.sum(axis=1)[:, None] == rest
+            needed = np.bincount(owner[blank.any(axis=1)], minlength=len(sizes)) > spare
             for j in range(SECOND):
-                owners.append(owner)
-                found.append(combine(left[:, j], (tags[owner] * 4 + j).astype(np.uint64), part.astype(np.uint64)))
+                use = ~blank[:, j] | needed[owner]
+                owners.append(owner[use])
+                found.append(combine(left[use, j], (tags[owner[use]] * 4 + j).astype(np.uint64), part[use].astype(np.uint64)))
         for few in range(1, SMALL_K + 1):
             small = np.flatnonzero(one_part & (k == few))
             if not len(small):
@@ -197,6 +225,88 @@ def linked(rows: list[np.ndarray], sizes: np.ndarray, num: int, den: int, left:
     return link
 
 
+def _stars(sig: np.ndarray, cls: np.ndarray):
+    """Rows in signature order, the smallest class of each row's signature, and whether the row is the first of its signature."""
+    order = np.lexsort((cls, sig))
+    sig, cls = sig[order], cls[order]
+    new = np.ones(len(sig), bool)
+    new[1:] = sig[1:] != sig[:-1]
+    return sig, cls, cls[new][np.cumsum(new) - 1], new
+
+
+def _distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    apart = a != b
+    pairs = np.unique(np.stack([a[apart], b[apart]], axis=1), axis=0) if apart.any() else np.zeros((0, 2), np.int64)
+    return pairs[:, 0], pairs[:, 1]
+
+
+def _sign(width, num, den, buckets):
+    """Signatures by bucket: classes with their numbers of signatures and the signatures' low five bytes; ties found on the way have none.
+
+    The low bytes and the bucket are all that is compared later: signatures that agree in them by chance give one tie too many.
+    """
+
+    def flush(pending):
+        sig, cls = (np.concatenate(x) for x in zip(*pending, strict=True))
+        sig, cls, center, first = _stars(sig, cls)
+        a, b = _distinct(cls, center)
+        sig, cls = sig[first], cls[first]
+        bucket = ((sig >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
+        order = np.lexsort((cls, bucket))
+        sig, cls, bucket = sig[order], cls[order], bucket[order]
+        low = np.ascontiguousarray(sig.view(np.uint8).reshape(-1, 8)[:, :5])
+        new = np.ones(len(sig), bool)
+        new[1:] = (cls[1:] != cls[:-1]) | (bucket[1:] != bucket[:-1])
+        at = np.flatnonzero(new)
+        size = np.diff(np.append(at, len(sig))).astype(np.uint16)
+        numbers, starts = np.unique(bucket[at], return_index=True)
+        ends = np.append(starts, len(at))[1:]
+        edges = np.append(at, len(sig))
+        rows = [(n, cls[at[i:j]].tobytes(), size[i:j].tobytes(), low[edges[i] : edges[j]].tobytes()) for n, i, j in zip(numbers.tolist(), starts, ends, strict=True)]
+        rows += [(n, a[n::buckets].tobytes(), b[n::buckets].tobytes(), None) for n in range(min(buckets, len(a)))]
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "cls", "n", "sig"])
+
+    def run(batches):
+        scheme, pending, size = Scheme(num, den), [], 0
+        for part, values, offsets in _blocks(batches, width):
+            owner, found = signatures(values, offsets, scheme)
+            pending.append((found, part.column("cls").to_numpy()[owner]))
+            size += len(found)
+            if size >= GATHER:
+                yield from flush(pending)
+                pending, size = [], 0
+        if size:
+            yield from flush(pending)
+
+    return run
+
+
+def _tie(batches):
+    """Ties of the classes in each bucket that share a signature."""
+
+    def solve(held):
+        cls = np.concatenate([np.repeat(np.frombuffer(c, np.int64), np.frombuffer(n, np.uint16)) for c, n, _ in held])
+        low = np.concatenate([np.frombuffer(x, np.uint8).reshape(-1, 5) for *_, x in held])
+        sig = np.zeros((len(low), 8), np.uint8)
+        sig[:, :5] = low
+        _, cls, center, _ = _stars(sig.view(np.uint64)[:, 0], cls)
+        return _distinct(cls, center)
+
+    held, now = [], None
+    for batch in batches:
+        for bucket, cls, n, sig in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if bucket != now and held:
+                yield pa.RecordBatch.from_arrays([_long(x) for x in solve(held)], names=["a", "b"])
+                held = []
+            now = bucket
+            if sig is None:
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x, np.int64)) for x in (cls, n)], names=["a", "b"])
+            else:
+                held.append((cls, n, sig))
+    if held:
+        yield pa.RecordBatch.from_arrays([_long(x) for x in solve(held)], names=["a", "b"])
+
+
 def _verify(num, den):
     """Per unit and block pair: a spanning forest of the links, and each class's number of linked documents."""
 
@@ -207,14 +317,7 @@ def _verify(num, den):
         names = np.array([x["cls"].as_py() for x in held])
         weight = np.array([x["docs"].as_py() for x in held])
         link = linked(rows, sizes, num, den, None if (side == side[0]).all() else side)
-        label = np.arange(len(held))
-        while True:
-            best = np.where(link, label[None, :], len(held)).min(axis=1, initial=len(held))
-            new = np.minimum(label, best)
-            new = np.minimum(new, new[new])
-            if (new == label).all():
-                break
-            label = new
+        label = _labels(link)
         links = link @ weight
         some = links > 0
         return names[some], names[label[some]], links[some]
@@ -239,6 +342,106 @@ def _verify(num, den):
     return run
 
 
+def parity(values: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+    """A bitmap of each set, of a power of two of at least 64 bits and the set's size: bit i is the parity of the shingles that hash to i.
+
+    Two bitmaps of one width differ in at most as many bits as their sets in shingles, and halves of a bitmap xor to the narrower one.
+    """
+    sizes = np.diff(offsets)
+    wide = np.maximum(64, 1 << np.ceil(np.log2(np.maximum(sizes, 1))).astype(np.int64))
+    base = np.concatenate([[0], np.cumsum(wide)])
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    place = base[owner] + (mix(values + np.uint64(0x2545F4914F6CDD1D)) & (wide[owner] - 1).astype(np.uint64)).astype(np.int64)
+    packed = np.packbits(np.bincount(place, minlength=base[-1]).astype(np.uint8) & 1, bitorder="little").tobytes()
+    return [packed[a // 8 : b // 8] for a, b in zip(base[:-1].tolist(), base[1:].tolist(), strict=True)]
+
+
+def close_pairs(bits: list[bytes], sizes: np.ndarray, num: int, den: int) -> np.ndarray:
+    """The boolean matrix of pairs whose bitmaps do not rule out a link."""
+    n = len(bits)
+    close = np.zeros((n, n), bool)
+    width = np.array([len(b) for b in bits])
+    for w in np.unique(width):
+        # rows of this width against those as wide or wider, folded
+        rows, others = np.flatnonzero(width == w), np.flatnonzero(width >= w)
+        folded = np.empty((len(others), w // 8), np.uint64)
+        for of in np.unique(width[others]):
+            some = np.flatnonzero(width[others] == of)
+            words = np.frombuffer(b"".join(bits[i] for i in others[some]), np.uint64).reshape(len(some), -1, w // 8)
+            folded[some] = np.bitwise_xor.reduce(words, axis=1)
+        mine = folded[np.searchsorted(others, rows)]
+        most = (sizes[rows][:, None] + sizes[others][None, :]) * (den - num) // (den + num)
+        for i, row in enumerate(rows):
+            apart = np.bitwise_count(folded ^ mine[i]).sum(axis=1, dtype=np.int64)
+            close[row, others] = apart <= most[i]
+    close |= close.T
+    close &= np.minimum(sizes[:, None], sizes) * den >= np.maximum(sizes[:, None], sizes) * num
+    np.fill_diagonal(close, False)
+    return close
+
+
+def _labels(link: np.ndarray) -> np.ndarray:
+    """The smallest index that each row of a link matrix reaches."""
+    n = len(link)
+    label = np.arange(n)
+    while True:
+        best = np.where(link, label[None, :], n).min(axis=1, initial=n)
+        new = np.minimum(label, best)
+        new = np.minimum(new, new[new])
+        if (new == label).all():
+            return label
+        label = new
+
+
+def _close(num, den):
+    """Per unit and block pair: a spanning forest of the pairs that bitmaps do not rule out."""
+
+    def solve(held):
+        names, side, sizes = (np.array([x[i] for x in held], np.int64) for i in (0, 1, 2))
+        close = close_pairs([x[3] for x in held], sizes, num, den)
+        if not (side == side[0]).all():
+            close &= side[:, None] != side[None, :]
+        label = _labels(close)
+        some = label != np.arange(len(label))
+        return pa.RecordBatch.from_arrays([_long(names[some]), _long(names[label[some]])], names=["a", "b"])
+
+    def run(batches):
+        held, key = [], None
+        for batch in batches:
+            columns = [c.to_pylist() for c in batch.columns]
+            for unit, first, second, *row in zip(*columns, strict=True):
+                if (unit, first, second) != key and held:
+                    yield solve(held)
+                    held = []
+                key = (unit, first, second)
+                held.append(row)
+        if held:
+            yield solve(held)
+
+    return run
+
+
+def _dealt(members: DataFrame, num: int, den: int, size: int) -> DataFrame:
+    """``members`` (unit, cls, n) with the block each class is dealt to, of about ``size`` classes.
+
+    Sizes of similar sets differ by den / num at most, so they are of one band or of neighbouring ones.  A unit that fits one block is one.
+    """
+    large = members.groupBy("unit").agg(F.count("*").alias("all")).where(F.col("all") > size).select("unit", F.lit(True).alias("large"))
+    band = F.floor(F.log(F.col("n").cast("double")) / math.log(den / num) + 1e-9).cast("long")
+    banded = members.join(large, "unit", "left").withColumn("band", F.when(F.col("large"), band).otherwise(F.lit(0))).drop("large")
+    slots = banded.groupBy("unit", "band").agg(F.ceil(F.count("*") / F.lit(size)).alias("slots"))
+    return banded.join(slots, ["unit", "band"]).withColumn("block", F.col("band") * F.lit(1 << 32) + F.pmod(F.xxhash64("cls"), F.col("slots"))).drop("band", "slots")
+
+
+def _meetings(members: DataFrame, num: int, den: int) -> DataFrame:
+    """unit, first, second, block: both sides of every pair of a unit's blocks whose sizes can match."""
+    spans = members.groupBy("unit", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    l, r = spans.alias("l"), spans.alias("r")
+    matched = l.join(r, (F.col("l.unit") == F.col("r.unit")) & (F.col("l.block") <= F.col("r.block")) & (F.col("l.hi") * den >= F.col("r.lo") * num))
+    pairs = matched.select(F.col("l.unit").alias("unit"), F.col("l.block").alias("first"), F.col("r.block").alias("second"))
+    return pairs.select("unit", "first", "second", F.explode(F.array_distinct(F.array("first", "second"))).alias("block"))
+
+
 def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= MOST_BROADCAST else df
 
@@ -256,16 +459,14 @@ def jaccard_components(docs: DataFrame, width: int = 3, num: int = 90, den: int
         for part, values, offsets in _blocks(batches, width):
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), _long(np.diff(offsets)), _long(classes(values, offsets))], names=["doc_id", "text_hash", "n", "cls"])
 
-    def sign(batches):
-        scheme = Scheme(num, den)
-        for part, values, offsets in _blocks(batches, width):
-            owner, found = signatures(values, offsets, scheme)
-            yield pa.RecordBatch.from_arrays([_long(found), pa.array(part.column("cls").to_numpy()[owner])], names=["sig", "cls"])
-
     def sets(batches):
         for part, values, offsets in _blocks(batches, width):
             yield pa.RecordBatch.from_arrays([part.column("cls"), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), _long(values))], names=["cls", "elements"])
 
+    def parities(batches):
+        for part, values, offsets in _blocks(batches, width):
+            yield pa.RecordBatch.from_arrays([part.column("cls"), pa.array(parity(values, offsets), pa.binary())], names=["cls", "bits"])
+
     described = staged(keyed.mapInArrow(describe, "doc_id long, text_hash long, n long, cls long"), "sets")
     class_docs = staged(
         described.where("cls <> 0").groupBy("cls").agg(F.count("*").alias("docs"), F.min("doc_id").alias("least"), F.min("n").alias("n"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("example")),
@@ -276,23 +477,27 @@ def jaccard_components(docs: DataFrame, width: int = 3, num: int = 90, den: int
     def example(of):
         return of.select("cls", F.coalesce("example.doc_id", F.lit(-(2**63))).alias("k"), F.col("example.text_hash").alias("text_hash"))
 
-    signed = texts.join(_small(example(class_docs)), ["k", "text_hash"]).select("cls", "text").mapInArrow(sign, "sig long, cls long")
-    crowded = signed.groupBy("sig").agg(F.min("cls").alias("center"), F.max("cls").alias("other")).where("center <> other").select("sig", "center")
-    crowded = staged(crowded, "crowded")
-    ties = staged(signed.join(_small(crowded), "sig").where("cls <> center").select(F.col("cls").alias("a"), F.col("center").alias("b")).distinct(), "ties")
-    units = components(ties)
-    members = units.select(F.col("node").alias("cls"), F.col("root").alias("unit")).join(class_docs, "cls")
-    # sizes of similar sets differ by den / num at most, so they are of one band or of neighbouring ones
-    members = members.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / math.log(den / num) + 1e-9).cast("long"))
-    dealt = members.groupBy("unit", "band").agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("slots"))
-    slot = F.pmod(F.xxhash64("cls"), F.col("slots"))
-    members = members.join(dealt, ["unit", "band"]).withColumn("block", F.col("band") * F.lit(1 << 32) + slot)
+    total = class_docs.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    buckets = max(shuffle_partitions(docs.sparkSession), -(-2 * total // GATHER))
+    one_each = texts.join(_small(example(class_docs)), ["k", "text_hash"]).select("cls", "text")
+    sent = one_each.mapInArrow(_sign(width, num, den, buckets), "bucket int, cls binary, n binary, sig binary")
+    tied = sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_tie, "a long, b long")
+    ties = staged(tied.distinct(), "ties")
+    units = components(ties).select(F.col("node").alias("cls"), F.col("root").alias("unit"))
+    crowded = units.groupBy("unit").agg(F.count("*").alias("all")).where(F.col("all") > BLOCK).select("unit")
+    crowded = staged(crowded, "crowded", 1)
+    if not crowded.isEmpty():
+        # a unit too large for one block is cut where no chain of parity bitmaps holds it together
+        among = units.join(crowded, "unit", "left_semi").join(class_docs, "cls").select("unit", "cls", "n", "docs", "example")
+        among = staged(_dealt(among, num, den, WIDE), "among")
+        bits = texts.join(_small(example(among)), ["k", "text_hash"]).select("cls", "text").mapInArrow(parities, "cls long, bits binary").dropDuplicates(["cls"])
+        met = among.select("unit", "block", "cls", "n").join(_meetings(among, num, den), ["unit", "block"]).join(bits, "cls")
+        met = met.select("unit", "first", "second", "cls", "block", "n", "bits").repartition(F.col("unit"), F.col("first"), F.col("second")).sortWithinPartitions("unit", "first", "second", "cls")
+        apart = components(staged(met.mapInArrow(_close(num, den), "a long, b long"), "close"))
+        units = units.join(crowded, "unit", "left_anti").unionByName(apart.select(F.col("node").alias("cls"), F.col("root").alias("unit")))
+    members = _dealt(units.join(class_docs, "cls"), num, den, BLOCK)
     members = staged(members.select("unit", "cls", "block", "docs", "n", "example"), "members")
-    spans = members.groupBy("unit", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    l, r = spans.alias("l"), spans.alias("r")
-    matched = l.join(r, (F.col("l.unit") == F.col("r.unit")) & (F.col("l.block") <= F.col("r.block")) & (F.col("l.hi") * den >= F.col("r.lo") * num))
-    pairs = matched.select(F.col("l.unit").alias("unit"), F.col("l.block").alias("first"), F.col("r.block").alias("second"))
-    sides = pairs.select("unit", "first", "second", F.explode(F.array_distinct(F.array("first", "second"))).alias("block"))
+    sides = _meetings(members, num, den)
     examples = texts.join(_small(example(members)), ["k", "text_hash"]).select("cls", "text").mapInArrow(sets, "cls long, elements array<long>")
     examples = staged(examples.dropDuplicates(["cls"]), "examples")
     work = members.select("unit", "block", "cls", "docs").join(sides, ["unit", "block"]).join(examples, "cls")

@@ -171,11 +171,12 @@ def test_jaccard_components(docs, texts):
     assert got == want
 
 
-@pytest.mark.parametrize("block", [2, 512])
-def test_jaccard_finds_every_link_of_random_near_copies(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "width", "num"), [(2, 3, 90), (512, 3, 90), (2, 5, 80), (512, 5, 80)])
+def test_jaccard_finds_every_link_of_random_near_copies(spark, monkeypatch, block, width, num):
     import random
 
     monkeypatch.setattr(ngram_join, "BLOCK", block)
+    monkeypatch.setattr(ngram_join, "WIDE", 2 * block)
     rng = random.Random(5)
     rows = []
     for family in range(12):
@@ -186,9 +187,9 @@ def test_jaccard_finds_every_link_of_random_near_copies(spark, monkeypatch, bloc
                 copy[rng.randrange(len(copy))] = f"x{rng.randrange(9)}"
             rows.append((len(rows), " ".join(copy)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: (r.component_id, r.n_links) for r in ngram_join.jaccard_components(df).collect()}
-    sets = {i: shingles(t) for i, t in rows}
-    link = {i: {j for j in sets if j != i and 100 * len(sets[i] & sets[j]) >= 90 * len(sets[i] | sets[j])} for i in sets}
+    got = {r.doc_id: (r.component_id, r.n_links) for r in ngram_join.jaccard_components(df, width, num).collect()}
+    sets = {i: frozenset(tuple(w[k : k + width]) for k in range(len(w) - width + 1)) for i, t in rows for w in [t.split()]}
+    link = {i: {j for j in sets if j != i and 100 * len(sets[i] & sets[j]) >= num * len(sets[i] | sets[j])} for i in sets}
     for i in sets:
         seen, todo = {i}, [i]
         while todo:
@@ -494,3 +495,21 @@ def test_personal_data_added_spans(spark):
         want.sort(key=lambda x: (pii.KINDS.index(x[0]), x[1]))
         assert got[i] == ",".join(f"{k}:{a}:{b}" for k, a, b in want)
     assert added["email"] == 240 and added["card"] == 240 and not any("version" in texts[i] for i, x in got.items() if x)
+
+
+def test_parity_bitmaps_bound_the_difference():
+    """No similar pair is ruled out, whatever the sizes, and most unrelated ones are."""
+    rng = np.random.default_rng(4)
+    sets = []
+    for size in (5, 40, 70, 120, 130, 300, 700):
+        base = rng.integers(1, 1 << 62, size, dtype=np.uint64)
+        for share in (0, 0, 0.02, 0.05, 0.1, 0.3, 1):
+            some = base[rng.random(size) >= share]
+            sets.append(np.unique(np.concatenate([some, rng.integers(1, 1 << 62, int(size * share / 2), dtype=np.uint64)])))
+    sets = [s for s in sets if len(s)]
+    offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+    sizes = np.diff(offsets)
+    close = ngram_join.close_pairs(ngram_join.parity(np.concatenate(sets), offsets), sizes, 80, 100)
+    n = len(sets)
+    true = np.array([[i != j and 100 * len(np.intersect1d(a, b)) >= 80 * len(np.union1d(a, b)) for j, b in enumerate(sets)] for i, a in enumerate(sets)])
+    assert (close | ~true).all() and true.sum() > n and close.sum() < 4 * true.sum()
