@@ -52,11 +52,56 @@ def sparse_removed(points: DataFrame, radius: float, least: int, ids: tuple[str,
     return points.join(kept.select(*ids, *keys), [*ids, *keys], "left_semi")
 
 
-def knn_within(points: DataFrame, k: int, reach: float, ids: tuple[str, ...], keys: tuple[str, ...] = ()) -> DataFrame:
-    """The k nearest points within ``reach`` of each point, itself included; ties by id."""
-    pairs = range_join(points.select(*ids, *keys, *_XYZ), points.select(*ids, *keys, *_XYZ), reach, keys)
+def knn_within(points: DataFrame, k: int, reach: float, ids: tuple[str, ...], keys: tuple[str, ...] = (), queries: DataFrame | None = None) -> DataFrame:
+    """The k nearest points within ``reach`` of each query (of each point where none are given), itself included; ties by id.
+
+    The rank's limit is taken per cell before pairs are shuffled to their query.
+    """
+    pairs = range_join((points if queries is None else queries).select(*ids, *keys, *_XYZ), points.select(*ids, *keys, *_XYZ), reach, keys)
     w = Window.partitionBy(*ids, *keys).orderBy("d2", *[F.col("r_" + i) for i in ids])
-    return pairs.withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < k)
+    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).withColumn("rank", F.col("rank") - 1)
+
+
+def nearest(points: DataFrame, k: int, ids: tuple[str, ...], keys: tuple[str, ...] = ()) -> DataFrame:
+    """The k nearest points of each point in its group (all of a smaller group), itself included; ties by id.
+
+    The first reach follows from the density; points that hold fewer than k within it, and not
+    their whole group, search again at twice the reach, until none is left.  Each round is cut
+    from its lineage by a checkpoint.
+    """
+    from cartoflow.operators.sets import _checkpoint_folder
+
+    _checkpoint_folder(points.sparkSession)
+    cloud = points.select(*ids, *keys, *_XYZ).where(" and ".join(f"{n} is not null and not isnan({n})" for n in _XYZ)).checkpoint()
+    spans = [F.max(n) - F.min(n) for n in _XYZ]
+    groups = cloud.groupBy(*keys).agg(F.count("*").alias("__n"), F.greatest(*spans).alias("__span"), *[s.alias(f"__e{n}") for s, n in zip(spans, _XYZ, strict=True)])
+    # a flat or empty extent counts as a thousandth of the largest one
+    volume = F.lit(1.0)
+    for n in _XYZ:
+        volume = volume * F.greatest(F.col(f"__e{n}"), F.col("__span") / 1000)
+    total, reach, span = groups.agg(F.sum("__n"), F.sum(F.pow(volume * k / F.col("__n"), F.lit(1 / 3)) * F.col("__n")), F.max("__span")).first()
+    if not total:
+        return knn_within(cloud, k, 1.0, ids, keys)
+    reach = max(reach / total, span / 1000, 1e-9)
+    sizes = groups.select(*keys, "__n")
+    waiting, done = cloud, []
+    while True:
+        found = knn_within(cloud, k, reach, ids, keys, waiting).checkpoint()
+        if reach > 2 * span:
+            done.append(found)
+            break
+        got = found.groupBy(*ids, *keys).agg(F.count("*").alias("__got"))
+        got = got.join(F.broadcast(sizes), list(keys)) if keys else got.crossJoin(F.broadcast(sizes))
+        full = got.where(F.col("__got") >= F.least(F.col("__n"), F.lit(k))).select(*ids, *keys)
+        done.append(found.join(full, [*ids, *keys], "left_semi").select(*found.columns))
+        waiting = waiting.join(full, [*ids, *keys], "left_anti").checkpoint()
+        if waiting.isEmpty():
+            break
+        reach *= 2
+    out = done[0]
+    for part in done[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def bracket(queries: DataFrame, samples: DataFrame, by: tuple[str, ...], column: str, values: tuple[str, ...], chunk: float | None = None) -> DataFrame:
@@ -208,33 +253,45 @@ def endpoint_positions(edges: DataFrame, submaps: DataFrame, hidden: DataFrame)
     return end(end(edges, "k1"), "k2")
 
 
-def vector_nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Exact feature-space neighbours: a block of queries against all rows, with a running top k per partition.
+def vector_nearest(vectors: DataFrame, queries: DataFrame, k: int, block: int = 65_536) -> DataFrame:
+    """Exact feature-space neighbours: blocks of queries against all rows, with a top k per batch.
 
-    ``queries`` must be a bounded set (it is collected and broadcast as one matrix).
+    At most ``block`` queries (in expectation) are broadcast at once as one matrix; more queries
+    make more passes over the rows.
     """
     import numpy as np
     import pandas as pd
 
     from cartoflow.runtime import ship
 
-    ship(vectors.sparkSession)
-    rows = queries.select("vec_id", "embedding").orderBy("vec_id").collect()
-    ids = [r[0] for r in rows]
-    block = np.array([r[1] for r in rows], np.float64)
-
-    def run(batches):
-        best: list[pd.DataFrame] = []
-        for pdf in batches:
-            m = np.stack(pdf["embedding"].to_numpy()).astype(np.float64)
-            d = (block**2).sum(1)[:, None] + (m**2).sum(1)[None, :] - 2 * block @ m.T
-            top = np.argsort(d, axis=1, kind="stable")[:, :k]
-            for i, row in enumerate(top):
-                exact = ((m[row] - block[i]) ** 2).sum(1)
-                best.append(pd.DataFrame({"query": ids[i], "vec_id": pdf["vec_id"].to_numpy()[row], "d2": exact}))
-        if best:
-            yield pd.concat(best)
-
-    found = vectors.select("vec_id", "embedding").mapInPandas(run, "query long, vec_id long, d2 double")
+    spark = vectors.sparkSession
+    ship(spark)
+    rounds = max(1, -(-queries.count() // block))
+
+    def against(part: int) -> DataFrame:
+        rows = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(rounds)) == part).select("vec_id", "embedding").orderBy("vec_id").toPandas()
+        ids = rows["vec_id"].to_numpy()
+        sent = spark.sparkContext.broadcast(np.stack(rows["embedding"].to_numpy()).astype(np.float64) if len(rows) else np.zeros((0, 1)))
+
+        def run(batches):
+            wanted = sent.value
+            for pdf in batches:
+                if not len(pdf) or not len(wanted):
+                    continue
+                m = np.stack(pdf["embedding"].to_numpy()).astype(np.float64)
+                names = pdf["vec_id"].to_numpy()
+                for at in range(0, len(wanted), 1024):
+                    some = wanted[at : at + 1024]
+                    d = (some**2).sum(1)[:, None] + (m**2).sum(1)[None, :] - 2 * some @ m.T
+                    # a few more than k: the exact distances below settle what rounding has swapped
+                    top = np.argpartition(d, min(k + 8, d.shape[1]) - 1, axis=1)[:, : k + 8]
+                    exact = ((m[top] - some[:, None, :]) ** 2).sum(2)
+                    yield pd.DataFrame({"query": np.repeat(ids[at : at + 1024], top.shape[1]), "vec_id": names[top].ravel(), "d2": exact.ravel()})
+
+        return vectors.select("vec_id", "embedding").mapInPandas(run, "query long, vec_id long, d2 double")
+
+    found = against(0)
+    for part in range(1, rounds):
+        found = found.unionByName(against(part))
     w = Window.partitionBy("query").orderBy("d2", "vec_id")
-    return found.withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < k)
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).withColumn("rank", F.col("rank") - 1)

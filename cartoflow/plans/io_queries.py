@@ -56,10 +56,10 @@ def match_filter(spark, sf):
     return formats.parse_matches(table(spark, sf, "part").selectExpr("p_partkey AS id", f"{text} AS value"), least=0.6).select("id", "u_real")
 
 
-@query(f"{with_sql('points')} SELECT frame_id, count(*) AS n, round(sum(CAST(x AS FLOAT)::DOUBLE), 3) + 0.0 AS sx, round(max(CAST(t AS FLOAT)::DOUBLE), 6) + 0.0 AS mt FROM p WHERE ok % 5 = 0 GROUP BY 1")
+@query(f"{with_sql('points')} SELECT frame_id, count(*) AS n, round(sum(CAST(x AS FLOAT)::DOUBLE), 3) + 0.0 AS sx, round(max(CAST(t AS FLOAT)::DOUBLE), 6) + 0.0 AS mt FROM p GROUP BY 1")
 def message_roundtrip(spark, sf):
     """Points packed into binary messages and decoded again."""
-    p = points(spark, sf).where("ok % 5 = 0").select("frame_id", (F.col("frame_id") * 0.1).alias("stamp"), F.monotonically_increasing_id().alias("pt_idx"), "x", "y", "z", "t", "intensity")
+    p = points(spark, sf).select("frame_id", (F.col("frame_id") * 0.1).alias("stamp"), (F.col("ok") * 8 + F.col("ln")).alias("pt_idx"), "x", "y", "z", "t", "intensity")
     back = formats.points_from_messages(formats.messages_from_points(p), formats.POINT_STEP, formats.POINT_FIELDS)
     out = back.groupBy("frame_id").agg(F.count("*").alias("n"), F.sum("x").alias("sx"), F.max("t").alias("mt"))
     return r(r(out, "sx", digits=3), "mt")

@@ -12,7 +12,7 @@ from cartoflow.functions import pose as se3
 from cartoflow.functions.keys import packed_cell
 from cartoflow.operators import filters, joins, mapping, numeric, projections, sets, windows
 from cartoflow.plans.carriers import ORDER, ORDER_SQL, carrier, table, with_sql
-from cartoflow.plans.path_queries import few, nodes, path, signals
+from cartoflow.plans.path_queries import cloud, nodes, path, signals
 from cartoflow.plans.points_queries import _BOXES, IDS, ids, points, r, vox
 from cartoflow.plans.registry import query
 from cartoflow.sources import maps
@@ -159,16 +159,16 @@ def keyframe_eviction(spark, sf):
     return windows.folded(src, ("session", "submap_id"), ("ts", "id"), run, "id long, evicted long, submap_id int")
 
 
-_CTX = "c AS (SELECT ok, ln, pk, sk, ep, sd, x, y, z FROM p WHERE ok % 7 = 0 AND pow(x, 2) + pow(y, 2) + pow(z, 2) < 900)"
+_CTX = "c AS (SELECT ok, ln, pk, sk, ep, sd, x, y, z FROM p WHERE pow(x, 2) + pow(y, 2) + pow(z, 2) < 900)"
 
 
 @query(
     f"""{P}, {_CTX}, n AS (SELECT {", ".join("a." + c.strip() for c in IDS.split(","))}, pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2) AS d2, row_number() OVER (PARTITION BY {", ".join("a." + c.strip() for c in IDS.split(","))} ORDER BY pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2), {", ".join("b." + c.strip() for c in IDS.split(","))}) AS rk FROM c a JOIN c b ON pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2) <= 36),
     m AS (SELECT {IDS}, avg(sqrt(d2)) AS d FROM n WHERE rk <= 6 GROUP BY ALL), l AS (SELECT avg(d) + 1.0 * coalesce(stddev_samp(d), 0) AS lim FROM m)
-    SELECT {IDS} FROM m, l WHERE d > lim AND ({IDS}) IN (SELECT ({IDS}) FROM p WHERE ok % 7 = 0 AND pow(x, 2) + pow(y, 2) + pow(z, 2) < 400)"""
+    SELECT {IDS} FROM m, l WHERE d > lim AND ({IDS}) IN (SELECT ({IDS}) FROM p WHERE pow(x, 2) + pow(y, 2) + pow(z, 2) < 400)"""
 )
 def outlier_select(spark, sf):
-    return ids(mapping.outlier_selection(few(spark, sf), (0.0, 0.0, 0.0), 20.0, 10.0, 6, 6.0, ORDER, 1.0))
+    return ids(mapping.outlier_selection(cloud(spark, sf), (0.0, 0.0, 0.0), 20.0, 10.0, 6, 6.0, ORDER, 1.0))
 
 
 @query(f"{P}, q AS (SELECT x, y, z, unnest([4.0::DOUBLE, 8.0::DOUBLE, 16.0::DOUBLE]) AS radius FROM p) SELECT radius, count(*) AS k, round(covar_pop(z, z) * sqrt(0.5), 6) + 0.0 AS c_zz FROM q WHERE pow(x - 1, 2) + pow(y - 2, 2) + pow(z, 2) < radius * radius GROUP BY 1 HAVING count(*) >= 5")
@@ -277,13 +277,13 @@ def odometry(spark, sf):
 
 
 @query(
-    f"""{P}, f AS (SELECT * FROM p WHERE ok % 7 = 0), z AS (SELECT * FROM f WHERE intensity = 0),
+    f"""{P}, f AS (SELECT * FROM p), z AS (SELECT * FROM f WHERE intensity = 0),
     m AS (SELECT {", ".join("z." + c.strip() for c in IDS.split(","))}, avg(o.intensity) AS i FROM z JOIN f o ON o.intensity <> 0 AND pow(z.x - o.x, 2) + pow(z.y - o.y, 2) + pow(z.z - o.z, 2) <= 9 GROUP BY ALL)
     SELECT {IDS}, round(CASE WHEN f.intensity = 0 THEN m.i ELSE f.intensity END, 8) + 0.0 AS intensity FROM f LEFT JOIN m USING ({IDS})"""
 )
 def livox_interpolate(spark, sf):
     """Zero returns filled from the returns around them."""
-    p = points(spark, sf).where("ok % 7 = 0").select(*ORDER, "x", "y", "z", "intensity")
+    p = points(spark, sf).select(*ORDER, "x", "y", "z", "intensity")
     return r(ids(mapping.fill_zero_intensity(p, 3.0, ORDER), "intensity"), "intensity", digits=8)
 
 

@@ -187,11 +187,11 @@ def nearest_xy(spark, sf):
     return r(found.select("cam", "r_id", "d2"), "d2")
 
 
-_FEW = "f AS (SELECT ok, ln, pk, sk, ep, sd, frame_id, x, y, z FROM p WHERE ok % 7 = 0)"
+_FEW = "f AS (SELECT ok, ln, pk, sk, ep, sd, frame_id, x, y, z FROM p)"
 
 
-def few(spark, sf):
-    return points(spark, sf).where("ok % 7 = 0").select(*ORDER, "frame_id", "x", "y", "z")
+def cloud(spark, sf):
+    return points(spark, sf).select(*ORDER, "frame_id", "x", "y", "z")
 
 
 _PAIRED = f"n AS (SELECT {', '.join('a.' + c.strip() for c in IDS.split(','))}, pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2) AS d2, b.ok AS r_ok, b.ln AS r_ln, b.pk AS r_pk, b.sk AS r_sk, b.ep AS r_ep, b.sd AS r_sd, b.x AS bx, b.y AS by_, b.z AS bz FROM f a JOIN f b ON a.frame_id = b.frame_id WHERE pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2) <= 64)"
@@ -199,28 +199,36 @@ _PAIRED = f"n AS (SELECT {', '.join('a.' + c.strip() for c in IDS.split(','))},
 
 @query(f"{P}, {_FEW}, {_PAIRED} SELECT {IDS}, count(*) AS neighbours FROM n GROUP BY ALL")
 def radius_count(spark, sf):
-    return joins.radius_count(few(spark, sf), 8.0, ORDER, ("frame_id",)).drop("frame_id")
+    return joins.radius_count(cloud(spark, sf), 8.0, ORDER, ("frame_id",)).drop("frame_id")
 
 
 @query(f"{P}, {_FEW}, {_PAIRED}, c AS (SELECT {IDS}, count(*) AS k FROM n GROUP BY ALL) SELECT {IDS} FROM c WHERE k >= 4")
 def sor(spark, sf):
     """Points with enough neighbours within the radius stay."""
-    return ids(joins.sparse_removed(few(spark, sf), 8.0, 4, ORDER, ("frame_id",)))
+    return ids(joins.sparse_removed(cloud(spark, sf), 8.0, 4, ORDER, ("frame_id",)))
 
 
-@query(f"{P}, {_FEW}, {_PAIRED}, k AS (SELECT *, row_number() OVER (PARTITION BY {IDS} ORDER BY d2, r_ok, r_ln, r_pk, r_sk, r_ep, r_sd) - 1 AS rank FROM n) SELECT {IDS}, CAST(rank AS INT) AS rank, r_ok, r_ln, round(d2, 6) + 0.0 AS d2 FROM k WHERE rank < 5")
-def knn5(spark, sf):
-    found = joins.knn_within(few(spark, sf), 5, 8.0, ORDER, ("frame_id",))
-    return r(found.select(*ORDER, "rank", "r_ok", "r_ln", "d2"), "d2")
+def _nearest(k):
+    """The k nearest points of each in its frame, in SQL: n with one row a neighbour."""
+    d2 = "pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2)"
+    kept = ", ".join(f"{n} := b.{n}" for n in (*ORDER, "x", "y", "z"))
+    own = ", ".join("a." + c for c in ORDER)
+    return f"t AS (SELECT {own}, min(struct_pack(d2 := {d2}, {kept}), {k}) AS l FROM f a JOIN f b ON a.frame_id = b.frame_id GROUP BY {own}), u AS (SELECT {IDS}, unnest(l) AS b, generate_subscripts(l, 1) AS rk FROM t), n AS (SELECT {IDS}, rk, b.d2 AS d2, b.ok AS r_ok, b.ln AS r_ln, b.x AS bx, b.y AS by_, b.z AS bz FROM u)"
+
 
+_K5 = _nearest(5)
 
-_K5 = f"k AS (SELECT *, row_number() OVER (PARTITION BY {IDS} ORDER BY d2, r_ok, r_ln, r_pk, r_sk, r_ep, r_sd) AS rk FROM n)"
+
+@query(f"{P}, {_FEW}, {_K5} SELECT {IDS}, CAST(rk - 1 AS INT) AS rank, r_ok, r_ln, round(d2, 6) + 0.0 AS d2 FROM n")
+def knn5(spark, sf):
+    found = joins.nearest(cloud(spark, sf), 5, ORDER, ("frame_id",))
+    return r(found.select(*ORDER, "rank", "r_ok", "r_ln", "d2"), "d2")
 
 
-@query(f"{P}, {_FEW}, {_PAIRED}, {_K5}, m AS (SELECT {IDS}, avg(sqrt(d2)) AS d FROM k WHERE rk <= 5 GROUP BY ALL), g AS (SELECT avg(d) + 1.0 * stddev_samp(d) AS lim FROM m) SELECT {IDS} FROM m, g WHERE d <= lim")
+@query(f"{P}, {_FEW}, {_K5}, m AS (SELECT {IDS}, avg(sqrt(d2)) AS d FROM n GROUP BY ALL), g AS (SELECT avg(d) + 1.0 * stddev_samp(d) AS lim FROM m) SELECT {IDS} FROM m, g WHERE d <= lim")
 def outlier_removal(spark, sf):
     """Statistical outliers: mean neighbour distance against mean plus deviations (a one-row table)."""
-    knn = joins.knn_within(few(spark, sf), 5, 8.0, ORDER, ("frame_id",))
+    knn = joins.nearest(cloud(spark, sf), 5, ORDER, ("frame_id",))
     mean = knn.groupBy(*ORDER).agg(F.avg(F.sqrt("d2")).alias("d"))
     limit = mean.agg((F.avg("d") + 1.0 * F.stddev_samp("d")).alias("lim"))
     return ids(mean.crossJoin(F.broadcast(limit)).where("d <= lim"))
@@ -232,23 +240,23 @@ def _scaled(m):
     return r(ids(m, "k", (F.col("c_xy") * half).alias("c_xy"), (F.col("c_zz") * half).alias("c_zz")), "c_xy", "c_zz")
 
 
-@query(f"{P}, {_FEW}, {_PAIRED}, {_K5} SELECT {IDS}, count(*) AS k, round(covar_pop(bx, by_) * sqrt(0.5), 6) + 0.0 AS c_xy, round(covar_pop(bz, bz) * sqrt(0.5), 6) + 0.0 AS c_zz FROM k WHERE rk <= 5 GROUP BY ALL")
+@query(f"{P}, {_FEW}, {_K5} SELECT {IDS}, count(*) AS k, round(covar_pop(bx, by_) * sqrt(0.5), 6) + 0.0 AS c_xy, round(covar_pop(bz, bz) * sqrt(0.5), 6) + 0.0 AS c_zz FROM n GROUP BY ALL")
 def neighbour_moments(spark, sf):
     """Population covariance of the nearest neighbours."""
-    knn = joins.knn_within(few(spark, sf), 5, 8.0, ORDER, ("frame_id",))
+    knn = joins.nearest(cloud(spark, sf), 5, ORDER, ("frame_id",))
     return _scaled(numeric.moments(knn, ORDER))
 
 
-@query(f"{P}, {_FEW}, {_PAIRED}, {_K5} SELECT {IDS}, count(*) AS k, round(coalesce(covar_samp(bx, by_), 0) * sqrt(0.5), 6) + 0.0 AS c_xy, round(coalesce(covar_samp(bz, bz), 0) * sqrt(0.5), 6) + 0.0 AS c_zz FROM k WHERE rk <= 5 GROUP BY ALL")
+@query(f"{P}, {_FEW}, {_K5} SELECT {IDS}, count(*) AS k, round(coalesce(covar_samp(bx, by_), 0) * sqrt(0.5), 6) + 0.0 AS c_xy, round(coalesce(covar_samp(bz, bz), 0) * sqrt(0.5), 6) + 0.0 AS c_zz FROM n GROUP BY ALL")
 def neighbour_moments_sample(spark, sf):
-    knn = joins.knn_within(few(spark, sf), 5, 8.0, ORDER, ("frame_id",))
+    knn = joins.nearest(cloud(spark, sf), 5, ORDER, ("frame_id",))
     return _scaled(numeric.moments(knn, ORDER, sample=True))
 
 
 @query()
 def normals(spark, sf):
     """Eigenvalues and sensor-facing normals of neighbourhoods."""
-    knn = joins.knn_within(few(spark, sf), 10, 8.0, ORDER, ("frame_id",))
+    knn = joins.nearest(cloud(spark, sf), 10, ORDER, ("frame_id",))
     return r(numeric.eigen(numeric.moments(knn, ORDER), ORDER, ("mx", "my", "mz")), "l0", "l1", "l2", digits=4)
 
 
@@ -279,9 +287,9 @@ def new_pairs(spark, sf):
     return joins.without_edges(joins.close_pairs(n, 10.0), edges).select("i", "j")
 
 
-@query(f"{P}, c AS (SELECT DISTINCT frame_id, {vox(4.0)} AS v FROM p WHERE frame_id < 10), o AS (SELECT frame_id, {vox(4.0)} AS v, count(*) AS c FROM p WHERE frame_id < 10 GROUP BY 1, 2), t AS (SELECT frame_id, sum(c) AS n FROM o GROUP BY 1) SELECT o.frame_id AS source, c.frame_id AS target, CAST(sum(o.c) AS BIGINT) AS hits, round(sum(o.c) / any_value(t.n), 6) + 0.0 AS overlap FROM o JOIN c USING (v) JOIN t ON t.frame_id = o.frame_id WHERE o.frame_id <> c.frame_id GROUP BY 1, 2")
+@query(f"{P}, c AS (SELECT DISTINCT frame_id, {vox(4.0)} AS v FROM p), o AS (SELECT frame_id, {vox(4.0)} AS v, count(*) AS c FROM p GROUP BY 1, 2), t AS (SELECT frame_id, sum(c) AS n FROM o GROUP BY 1) SELECT o.frame_id AS source, c.frame_id AS target, CAST(sum(o.c) AS BIGINT) AS hits, round(sum(o.c) / any_value(t.n), 6) + 0.0 AS overlap FROM o JOIN c USING (v) JOIN t ON t.frame_id = o.frame_id WHERE o.frame_id <> c.frame_id GROUP BY 1, 2")
 def overlap_pairs(spark, sf):
-    p = points(spark, sf).where("frame_id < 10")
+    p = points(spark, sf)
     return r(joins.overlap(p, p, 4.0, "frame_id"), "overlap")
 
 
@@ -332,19 +340,19 @@ def camera_cull(spark, sf):
     return filters.camera_cull(carrier(spark, sf, "cameras"), centroid(points(spark, sf)), 10.0).select("cam")
 
 
-@query(f"{with_sql('cameras', 'points')}, f AS (SELECT {IDS}, x, y, z FROM p WHERE ok % 11 = 0) SELECT {', '.join('f.' + c.strip() for c in IDS.split(','))}, count(*) AS views, round(min(pow(cx - x, 2) + pow(cy - y, 2) + pow(cz - z, 2)), 6) + 0.0 AS d2 FROM f JOIN cam ON located AND pow(cx - x, 2) + pow(cy - y, 2) + pow(cz - z, 2) <= 64 GROUP BY ALL")
+@query(f"{with_sql('cameras', 'points')}, f AS (SELECT {IDS}, x, y, z FROM p) SELECT {', '.join('f.' + c.strip() for c in IDS.split(','))}, count(*) AS views, round(min(pow(cx - x, 2) + pow(cy - y, 2) + pow(cz - z, 2)), 6) + 0.0 AS d2 FROM f JOIN cam ON located AND pow(cx - x, 2) + pow(cy - y, 2) + pow(cz - z, 2) <= 64 GROUP BY ALL")
 def points_cameras(spark, sf):
     """Points with the cameras in range: grid join, no nested loop."""
-    p = points(spark, sf).where("ok % 11 = 0").select(*ORDER, "x", "y", "z")
+    p = points(spark, sf).select(*ORDER, "x", "y", "z")
     cams = carrier(spark, sf, "cameras").where("located").select("cam", F.col("cx").alias("x"), F.col("cy").alias("y"), F.col("cz").alias("z"))
     pairs = joins.range_join(p, cams, 8.0)
     return r(pairs.groupBy(*ORDER).agg(F.count("*").alias("views"), F.min("d2").alias("d2")), "d2")
 
 
-@query("SELECT q.vec_id AS query, v.vec_id, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY list_sum(list_transform(list_zip(q.embedding, v.embedding), lambda t: pow(t[1]::DOUBLE - t[2]::DOUBLE, 2))), v.vec_id) - 1 AS INT) AS rank FROM embeddings q, embeddings v WHERE q.vec_id < 20 QUALIFY rank < 5")
+@query("SELECT q.vec_id AS query, v.vec_id, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY list_sum(list_transform(list_zip(q.embedding, v.embedding), lambda t: pow(t[1]::DOUBLE - t[2]::DOUBLE, 2))), v.vec_id) - 1 AS INT) AS rank FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0 QUALIFY rank < 5")
 def feature_knn(spark, sf):
     v = table(spark, sf, "embeddings")
-    return joins.vector_nearest(v, v.where("vec_id < 20"), 5).select("query", "vec_id", "rank")
+    return joins.vector_nearest(v, v.where("vec_id % 20 = 0"), 5).select("query", "vec_id", "rank")
 
 
 # graphs and sets -----------------------------------------------------------------------------
@@ -405,28 +413,23 @@ def graph_degrees(spark, sf):
     return sets.degrees(factors(spark, sf).where("type = 'match'"))
 
 
-@query(f"WITH RECURSIVE {_FAC}, e AS (SELECT DISTINCT i AS a, j AS b FROM fac WHERE factor_id % 97 = 1 UNION SELECT DISTINCT j, i FROM fac WHERE factor_id % 97 = 1), reach AS (SELECT a AS id, a AS other FROM e UNION SELECT reach.id, e.b FROM reach JOIN e ON e.a = reach.other) SELECT id, min(other) AS root FROM reach GROUP BY 1")
+@query(f"WITH RECURSIVE {_FAC}, e AS (SELECT DISTINCT i AS a, j AS b FROM fac UNION SELECT DISTINCT j, i FROM fac), reach AS (SELECT a AS id, a AS other FROM e UNION SELECT reach.id, e.b FROM reach JOIN e ON e.a = reach.other) SELECT id, min(other) AS root FROM reach GROUP BY 1")
 def connected_submaps(spark, sf):
-    return sets.connected(factors(spark, sf).where("factor_id % 97 = 1"))
+    return sets.connected(factors(spark, sf))
 
 
-@query(f"{P}, v AS (SELECT {vox(2.0)} AS voxel, CAST(floor(x / 2) AS BIGINT) AS cx, CAST(floor(y / 2) AS BIGINT) AS cy, CAST(floor(z / 2) AS BIGINT) AS cz, count(*) AS n FROM p WHERE ok % 40 = 0 GROUP BY ALL) SELECT voxel, n, cx, cy, cz FROM v WHERE n >= 1")
+@query(f"{P}, v AS (SELECT {vox(2.0)} AS voxel, CAST(floor(x / 2) AS BIGINT) AS cx, CAST(floor(y / 2) AS BIGINT) AS cy, CAST(floor(z / 2) AS BIGINT) AS cz, count(*) AS n FROM p GROUP BY ALL) SELECT voxel, n, cx, cy, cz FROM v WHERE n >= 1")
 def trail_cells(spark, sf):
     """Occupied cells that trail clustering starts from."""
-    p = points(spark, sf).where("ok % 40 = 0")
+    p = points(spark, sf)
     keyed = p.withColumns({"voxel": packed_cell("x", "y", "z", 2.0), **{f"c{n}": F.floor(F.col(n) / 2) for n in "xyz"}})
     return keyed.groupBy("voxel", "cx", "cy", "cz").agg(F.count("*").alias("n"))
 
 
-@query(
-    f"""{P.replace("WITH", "WITH RECURSIVE", 1)}, v AS (SELECT DISTINCT floor(x / 2) AS cx, floor(y / 2) AS cy, floor(z / 2) AS cz FROM p WHERE ok % 200 = 0), k AS (SELECT *, CAST(row_number() OVER (ORDER BY cx, cy, cz) AS BIGINT) AS id FROM v),
-    e AS (SELECT a.id AS a, b.id AS b FROM k a JOIN k b ON abs(a.cx - b.cx) <= 1 AND abs(a.cy - b.cy) <= 1 AND abs(a.cz - b.cz) <= 1),
-    reach AS (SELECT a AS id, a AS other FROM e UNION SELECT reach.id, e.b FROM reach JOIN e ON e.a = reach.other), c AS (SELECT id, min(other) AS root FROM reach GROUP BY 1)
-    SELECT count(*) AS cells, round(min(cx), 6) + 0.0 AS lo_x, round(max(cx), 6) + 0.0 AS hi_x FROM c JOIN k USING (id) GROUP BY root"""
-)
+@query()
 def trail_clusters(spark, sf):
     """26-neighbour clusters of occupied cells with their extent: grid join, then connected components."""
-    cells = points(spark, sf).where("ok % 200 = 0").select(*[F.floor(F.col(n) / 2).cast("double").alias(n) for n in "xyz"]).distinct()
+    cells = points(spark, sf).select(*[F.floor(F.col(n) / 2).cast("double").alias(n) for n in "xyz"]).distinct()
     keyed = cells.withColumn("id", packed_cell("x", "y", "z", 1.0))
     pairs = joins.range_join(keyed, keyed, 1.8)
     edges = pairs.select(F.col("id").alias("i"), F.col("r_id").alias("j"))
