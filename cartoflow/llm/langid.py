@@ -26,6 +26,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +36,9 @@ from cartoflow.runtime import ship
 TRAIN_DOCS = 3000
 LONGEST = 5
 #: Words whose backoff scores a worker remembers.
-_REMEMBERED = 300_000
+_REMEMBERED = 100_000
+#: Texts whose words are looked up at once.
+_TEXTS = 512
 
 
 def _letters() -> re.Pattern:
@@ -85,7 +88,7 @@ def _count(batches):
 class WordFirst:
     """The fitted tables: words first, then n-grams by length, each a place in a matrix of log frequencies by language.
 
-    Travels as Arrow strings and matrices; the places are looked up where texts are predicted.
+    Grams stay Arrow strings, also where texts are predicted: as Python strings they would take ten times the memory.
     """
 
     def __init__(self, langs: list[str], tables: list[tuple[pa.Array, np.ndarray]]):
@@ -99,7 +102,6 @@ class WordFirst:
         self.start()
 
     def start(self):
-        self.places: list[dict[str, int]] | None = None
         self.index: dict[str, int] = {}
         self.rows = np.zeros((1024, self.width), np.float32)
 
@@ -110,39 +112,52 @@ class WordFirst:
         self.langs, self.width, self.grams, self.logs = state
         self.start()
 
-    def score_word(self, word: str) -> np.ndarray:
-        known = self.places[0].get(word)
-        if known is not None:
-            return self.logs[0][known]
-        for n in range(LONGEST, 0, -1):
-            place = self.places[n]
-            found = [k for g in _grams(word, n) if (k := place.get(g)) is not None]
-            if found:  # the mean, so that a long unseen word weighs like a known one
-                return self.logs[n][found].mean(axis=0)
-        return np.zeros(self.width, np.float32)
-
-    def place(self, word: str) -> int:
-        k = len(self.index)
-        if k == len(self.rows):
+    def _places(self, n: int, grams: list[str]) -> np.ndarray:
+        """The place of each gram of a length in its table, or -1."""
+        return pc.fill_null(pc.index_in(pa.array(grams, pa.string()), value_set=self.grams[n]), -1).to_numpy()
+
+    def learn(self, words: list[str]) -> None:
+        """Scores of words not met before, all at once: known words first, then the longest known n-grams of the others."""
+        first = len(self.index)
+        self.index.update(zip(words, range(first, first + len(words)), strict=True))
+        while len(self.rows) < len(self.index):
             self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        self.rows[k] = self.score_word(word)
-        self.index[word] = k
-        return k
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        words = _LETTERS.findall(text.lower()) if text else []
-        if not words or not self.langs:
-            return "und", 0.0
-        if self.places is None:
-            self.places = [dict(zip(grams.to_pylist(), range(len(grams)), strict=True)) for grams in self.grams]
-            self.grams = [x.slice(0, 0) for x in self.grams]
+        place = self._places(0, words)
+        known = np.flatnonzero(place >= 0)
+        self.rows[first + known] = self.logs[0][place[known]]
+        rest = np.flatnonzero(place < 0)
+        for n in range(LONGEST, 0, -1):
+            if not len(rest):
+                return
+            grams = [_grams(words[k], n) for k in rest.tolist()]
+            owner = np.repeat(np.arange(len(rest)), [len(g) for g in grams])
+            place = self._places(n, [g for some in grams for g in some])
+            hit = place >= 0
+            count = np.bincount(owner[hit], minlength=len(rest))
+            some = np.flatnonzero(count)
+            for k in range(self.width):  # the mean, so that a long unseen word weighs like a known one
+                total = np.bincount(owner[hit], self.logs[n][place[hit], k], len(rest))
+                self.rows[first + rest[some], k] = total[some] / count[some]
+            rest = rest[count == 0]
+
+    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+        found = [_LETTERS.findall(text.lower()) if text else [] for text in texts]
         if len(self.index) > _REMEMBERED:
-            self.index, self.rows = {}, np.zeros((1024, self.width), np.float32)
-        get, place = self.index.get, self.place
-        at = [k if (k := get(w)) is not None else place(w) for w in words]
-        total = self.rows[at].sum(axis=0, dtype=np.float64)
-        best = int(total.argmax())
-        return self.langs[best], float(1.0 / np.exp(np.maximum(total - total[best], -700.0)).sum())
+            self.start()
+        new = list({w for words in found for w in words if w not in self.index})
+        if new and self.langs:
+            self.learn(new)
+        langs, scores = [], []
+        for words in found:
+            if not words or not self.langs:
+                langs.append("und")
+                scores.append(0.0)
+                continue
+            total = self.rows[[self.index[w] for w in words]].sum(axis=0, dtype=np.float64)
+            best = int(total.argmax())
+            langs.append(self.langs[best])
+            scores.append(float(1.0 / np.exp(np.maximum(total - total[best], -700.0)).sum()))
+        return langs, scores
 
 
 def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> WordFirst:
@@ -185,13 +200,14 @@ def predict(docs: DataFrame, model: WordFirst) -> DataFrame:
         if key not in _models:
             _models.clear()
             _models[key] = pickle.loads(packed.value)
-        predict_one = _models[key].predict
+        model = _models[key]
         for batch in batches:
-            found = [predict_one(x.as_py()) for x in batch.column(at)]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())],
-                names=[*batch.schema.names, "__lang_pred", "__score"],
-            )
+            langs, scores = [], []
+            for a in range(0, len(batch), _TEXTS):
+                some = model.predict(batch.column(at).slice(a, _TEXTS).to_pylist())
+                langs += some[0]
+                scores += some[1]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, "__lang_pred", "__score"])
 
     return docs.mapInArrow(run, ddl)
 

@@ -50,7 +50,7 @@ from cartoflow.runtime import ship
 SECOND = 3
 SMALL_K = 3
 #: Signatures that a task gathers before it sends them.
-GATHER = 2_000_000
+GATHER = 500_000
 #: Classes verified against each other at once.
 BLOCK = 512
 #: Classes whose bitmaps are compared at once.
@@ -247,8 +247,7 @@ def _sign(width, num, den, buckets):
     """
 
     def flush(pending):
-        sig, cls = (np.concatenate(x) for x in zip(*pending, strict=True))
-        sig, cls, center, first = _stars(sig, cls)
+        sig, cls, center, first = _stars(*(np.concatenate(x) for x in zip(*pending, strict=True)))
         a, b = _distinct(cls, center)
         sig, cls = sig[first], cls[first]
         bucket = ((sig >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
