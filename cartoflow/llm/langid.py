@@ -38,7 +38,7 @@ LONGEST = 5
 #: Words whose backoff scores a worker remembers.
 _REMEMBERED = 100_000
 #: Texts whose words are looked up at once.
-_TEXTS = 512
+_TEXTS = 256
 
 
 def _letters() -> re.Pattern:
@@ -73,12 +73,13 @@ def _count(batches):
         for place, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             words.setdefault(place, Counter()).update(_LETTERS.findall(text.as_py().lower()))
         for place, counts in words.items():
-            sets = [Counter() for _ in range(LONGEST)]
-            for word, c in counts.items():
-                for n in range(1, LONGEST + 1):
-                    for g in _grams(word, n):
-                        sets[n - 1][g] += c
-            for n, found in enumerate([counts, *sets]):
+            for n in range(LONGEST + 1):
+                found = counts
+                if n:
+                    found = Counter()
+                    for word, c in counts.items():
+                        for g in _grams(word, n):
+                            found[g] += c
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([place] * len(found), pa.int32()), pa.array([n] * len(found), pa.int32()), pa.array(list(found)), pa.array(list(found.values()), pa.int64())],
                     names=["place", "n", "gram", "c"],
