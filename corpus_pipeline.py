@@ -23,7 +23,7 @@ from cartoflow.llm.queries import tokenizer_path
 #: Words of a shingle and similarity (numerator, denominator) of near duplicates.
 SHINGLE, ALIKE = 5, (80, 100)
 #: Keys of rows to drop up to which they are broadcast; beyond, the rows are shuffled to them.
-MOST_BROADCAST = 1_000_000
+MOST_BROADCAST = 500_000
 
 
 def _id() -> F.Column:
@@ -76,9 +76,18 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it (not at all, once, or up to three times); null is a source of its own."""
-    rows = docs.select(F.struct("*").alias("__row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), mixing.words().alias("size"))
-    mixed = mixing.mix(rows).where("copies > 0")
+    """Each document as often as the mix takes it (not at all, once, or up to three times); null is a source of its own.
+
+    Where ids are unique only they and the copies are mixed, and the rows meet them afterwards.
+    """
+    sized = [F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), mixing.words().alias("size")]
+    n, different = docs.agg(F.count("*"), F.count_distinct(_id())).first()
+    if n == different:
+        copies = staged(mixing.mix(staged(docs.select(*sized), "sizes")).where("copies > 0").select(_id().alias("__id"), "copies"), "copies")
+        copies = F.broadcast(copies) if n <= MOST_BROADCAST else copies
+        mixed = docs.select(F.struct("*").alias("__row"), _id().alias("__id")).join(copies, "__id")
+    else:
+        mixed = mixing.mix(docs.select(F.struct("*").alias("__row"), *sized)).where("copies > 0")
     return mixed.select("__row", F.explode(F.expr("array_repeat(0, cast(copies as int))")).alias("__copy")).select("__row.*")
 
 
