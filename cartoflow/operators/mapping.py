@@ -78,10 +78,10 @@ def keyframe_window(pdf: pd.DataFrame, distance: float, most: int) -> pd.DataFra
     return pd.DataFrame(out, columns=["id", "evicted"])
 
 
-def outlier_selection(points: DataFrame, centre, radius: float, offset: float, k: int, reach: float, ids: tuple[str, ...], factor: float) -> DataFrame:
+def outlier_selection(points: DataFrame, centre, radius: float, offset: float, k: int, ids: tuple[str, ...], factor: float) -> DataFrame:
     """Points within a radius whose mean neighbour distance, judged in a wider context, is an outlier."""
     context = filters.in_radius(points, centre, radius + offset)
-    knn = joins.knn_within(context, k, reach, ids)
+    knn = joins.nearest(context, k, ids)
     mean = knn.groupBy(*ids).agg(F.avg(F.sqrt("d2")).alias("d"))
     limit = mean.agg((F.avg("d") + factor * F.coalesce(F.stddev_samp("d"), F.lit(0.0))).alias("lim"))
     inliers = mean.crossJoin(F.broadcast(limit)).where("d <= lim").select(*ids)

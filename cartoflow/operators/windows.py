@@ -155,16 +155,20 @@ def folded(df: DataFrame, by: tuple[str, ...], order: tuple[str, ...], fold, sch
     return df.groupBy(*by).applyInPandas(run, schema)
 
 
-def keyframes(pdf, distance: float, names=("x", "y", "z")):
-    """Rows farther than ``distance`` from the last selected one; the first is always selected."""
+def keyframes(pdf, distance: float, names=("x", "y", "z"), angle: float | None = None, rotation=("qx", "qy", "qz", "qw")):
+    """Rows farther than ``distance``, or turned by more than ``angle`` (radians), from the last selected one; the first is always selected."""
     import numpy as np
 
     xyz = pdf[list(names)].to_numpy(float)
-    keep, last = [], None
-    for i, p in enumerate(xyz):
-        if last is None or ((p - last) ** 2).sum() > distance * distance:
+    turns = None if angle is None else pdf[list(rotation)].to_numpy(float)
+    keep = []
+    for i in range(len(xyz)):
+        far = not keep or ((xyz[i] - xyz[keep[-1]]) ** 2).sum() > distance * distance
+        if not far and turns is not None:
+            # the angle between two unit quaternions, of which q and -q are one rotation
+            far = 2 * np.arccos(min(1.0, abs(float(turns[i] @ turns[keep[-1]])))) > angle
+        if far:
             keep.append(i)
-            last = p
     return pdf.iloc[np.array(keep, int)]
 
 

@@ -159,16 +159,9 @@ def keyframe_eviction(spark, sf):
     return windows.folded(src, ("session", "submap_id"), ("ts", "id"), run, "id long, evicted long, submap_id int")
 
 
-_CTX = "c AS (SELECT ok, ln, pk, sk, ep, sd, x, y, z FROM p WHERE pow(x, 2) + pow(y, 2) + pow(z, 2) < 900)"
-
-
-@query(
-    f"""{P}, {_CTX}, n AS (SELECT {", ".join("a." + c.strip() for c in IDS.split(","))}, pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2) AS d2, row_number() OVER (PARTITION BY {", ".join("a." + c.strip() for c in IDS.split(","))} ORDER BY pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2), {", ".join("b." + c.strip() for c in IDS.split(","))}) AS rk FROM c a JOIN c b ON pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2) <= 36),
-    m AS (SELECT {IDS}, avg(sqrt(d2)) AS d FROM n WHERE rk <= 6 GROUP BY ALL), l AS (SELECT avg(d) + 1.0 * coalesce(stddev_samp(d), 0) AS lim FROM m)
-    SELECT {IDS} FROM m, l WHERE d > lim AND ({IDS}) IN (SELECT ({IDS}) FROM p WHERE pow(x, 2) + pow(y, 2) + pow(z, 2) < 400)"""
-)
+@query()
 def outlier_select(spark, sf):
-    return ids(mapping.outlier_selection(cloud(spark, sf), (0.0, 0.0, 0.0), 20.0, 10.0, 6, 6.0, ORDER, 1.0))
+    return ids(mapping.outlier_selection(cloud(spark, sf), (0.0, 0.0, 0.0), 20.0, 10.0, 6, ORDER, 1.0))
 
 
 @query(f"{P}, q AS (SELECT x, y, z, unnest([4.0::DOUBLE, 8.0::DOUBLE, 16.0::DOUBLE]) AS radius FROM p) SELECT radius, count(*) AS k, round(covar_pop(z, z) * sqrt(0.5), 6) + 0.0 AS c_zz FROM q WHERE pow(x - 1, 2) + pow(y - 2, 2) + pow(z, 2) < radius * radius GROUP BY 1 HAVING count(*) >= 5")

@@ -112,9 +112,12 @@ def time_buckets(spark, sf):
 
 @query()
 def keyframes(spark, sf):
-    """Displacement from the last selected row."""
-    src = path(spark, sf).select("session", "submap_id", "ts", "id", "x", "y", "z")
-    out = windows.folded(src, ("session", "submap_id"), ("ts", "id"), lambda pdf: windows.keyframes(pdf, 60.0), "session string, submap_id int, ts timestamp_ntz, id long, x double, y double, z double")
+    """Displacement, or turn, from the last selected row; the heading turns by a fixed step a row."""
+    half = F.radians(F.col("id") % 360) / 2
+    zero = F.lit(0.0)
+    src = path(spark, sf).select("session", "submap_id", "ts", "id", "x", "y", "z", zero.alias("qx"), zero.alias("qy"), F.sin(half).alias("qz"), F.cos(half).alias("qw"))
+    schema = "session string, submap_id int, ts timestamp_ntz, id long, x double, y double, z double, qx double, qy double, qz double, qw double"
+    out = windows.folded(src, ("session", "submap_id"), ("ts", "id"), lambda pdf: windows.keyframes(pdf, 60.0, angle=1.5), schema)
     return out.select("session", "submap_id", "id")
 
 

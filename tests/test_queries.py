@@ -54,6 +54,101 @@ def test_odometry_runs_on_every_frame(spark, sf):
     assert {(r.submap_id, r.frame_id) for r in plans.QUERIES["odometry"](spark, sf).collect()} == frames
 
 
+def _cloud(spark, sf):
+    from cartoflow.plans.path_queries import ORDER, cloud
+
+    return cloud(spark, sf).toPandas().sort_values(list(ORDER)).reset_index(drop=True), list(ORDER)
+
+
+def test_nearest_neighbours_of_every_point(spark, sf):
+    """The expanding search against all distances of each frame, and the moments and normals that follow from it."""
+    import numpy as np
+
+    points, order = _cloud(spark, sf)
+    want = {}
+    for _, frame in points.groupby("frame_id"):
+        xyz = frame[["x", "y", "z"]].to_numpy()
+        d2 = ((xyz[:, None, :] - xyz[None, :, :]) ** 2).sum(2)
+        keys = list(frame[order].itertuples(index=False, name=None))
+        for i, row in enumerate(np.argsort(d2, axis=1, kind="stable")[:, :10]):
+            want[keys[i]] = (d2[i, row], xyz[row])
+    got = plans.QUERIES["normals"](spark, sf).toPandas()
+    assert len(got) == len(want) == len(points)
+    for r in got.itertuples(index=False):
+        d2, near = want[tuple(getattr(r, c) for c in order)]
+        values = np.linalg.eigvalsh(np.cov(near.T, bias=True))
+        assert np.allclose([r.l0, r.l1, r.l2], values, atol=2e-4)
+    knn = plans.QUERIES["knn5"](spark, sf).toPandas()
+    assert len(knn) == sum(min(5, len(d)) for d, _ in want.values())
+    for r in knn.itertuples(index=False):
+        assert abs(want[tuple(getattr(r, c) for c in order)][0][r.rank] - r.d2) < 1e-5
+
+
+def test_nearest_neighbours_of_odd_groups(spark):
+    """Fewer points than asked for, all in one place, far apart, and none."""
+    from cartoflow.operators import joins
+
+    rows = [(1, "a", 0.0, 0.0, 0.0), (2, "a", 0.0, 0.0, 0.0), (3, "a", 0.0, 0.0, 0.0), (4, "b", 0.0, 0.0, 0.0), (5, "b", 1e6, 0.0, 0.0), (6, "c", 5.0, 5.0, 5.0)]
+    df = spark.createDataFrame(rows, "id long, g string, x double, y double, z double")
+    got = sorted((r.id, r["rank"], r.r_id) for r in joins.nearest(df, 2, ("id",), ("g",)).collect())
+    assert got == [(1, 0, 1), (1, 1, 2), (2, 0, 1), (2, 1, 2), (3, 0, 1), (3, 1, 2), (4, 0, 4), (4, 1, 5), (5, 0, 5), (5, 1, 4), (6, 0, 6)]
+    assert joins.nearest(df.limit(0), 2, ("id",), ("g",)).count() == 0
+
+
+def test_outlier_select_by_all_distances(spark, sf):
+    import numpy as np
+
+    points, order = _cloud(spark, sf)
+    xyz = points[["x", "y", "z"]].to_numpy()
+    from_centre = (xyz**2).sum(1)
+    context = np.flatnonzero(from_centre < 30.0**2)
+    d = np.array([np.sqrt(np.sort(((xyz[context] - xyz[i]) ** 2).sum(1))[:6]).mean() for i in context])
+    out = set(context[d > d.mean() + d.std(ddof=1)].tolist())
+    want = {tuple(points.loc[i, order]) for i in range(len(points)) if from_centre[i] < 20.0**2 and i in out}
+    assert {tuple(r) for r in plans.QUERIES["outlier_select"](spark, sf).select(*order).toPandas().itertuples(index=False, name=None)} == want
+
+
+def test_trail_clusters_by_union_find(spark, sf):
+    points, _ = _cloud(spark, sf)
+    cells = {tuple(math.floor(v / 2) for v in p) for p in points[["x", "y", "z"]].itertuples(index=False)}
+    left, want = set(cells), []
+    while left:
+        todo, found = [left.pop()], []
+        while todo:
+            x, y, z = todo.pop()
+            found.append(x)
+            near = {(x + i, y + j, z + k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)} & left
+            left -= near
+            todo += near
+        want.append((len(found), float(min(found)), float(max(found))))
+    got = plans.QUERIES["trail_clusters"](spark, sf).collect()
+    assert sorted((r.cells, r.lo_x, r.hi_x) for r in got) == sorted(want)
+
+
+def test_keyframes_by_hand(spark, sf):
+    """Distance over 60 or turn over 1.5 from the last selected row of the session's submap."""
+    rows = plans.path_queries.path(spark, sf).select("session", "submap_id", "ts", "id", "x", "y", "z").toPandas().sort_values(["ts", "id"])
+    want = set()
+    for _, group in rows.groupby(["session", "submap_id"]):
+        last = None
+        for r in group.itertuples(index=False):
+            turn = 0.0 if last is None else abs((r.id % 360 - last.id % 360 + 180) % 360 - 180)
+            if last is None or math.dist((r.x, r.y, r.z), (last.x, last.y, last.z)) > 60 or math.radians(turn) > 1.5:
+                want.add((r.session, r.submap_id, r.id))
+                last = r
+    assert {tuple(r) for r in plans.QUERIES["keyframes"](spark, sf).select("session", "submap_id", "id").collect()} == want
+
+
+def test_feature_search_in_blocks(spark, sf):
+    """Queries in several passes find what one pass finds."""
+    from cartoflow.operators import joins
+
+    v = spark.read.parquet(f"{sf}/embeddings.parquet")
+    few = v.where("vec_id % 20 = 0")
+    a, b = (sorted((r["query"], r["rank"], r.vec_id) for r in joins.vector_nearest(v, few, 5, block).select("query", "rank", "vec_id").collect()) for block in (65_536, 3))
+    assert a == b and len(a) == 5 * few.count()
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
