@@ -55,6 +55,8 @@ GATHER = 500_000
 BLOCK = 512
 #: Classes whose bitmaps are compared at once.
 WIDE = 2048
+#: Rows of a link matrix that are widened to numbers at once.
+ROWS = 128
 #: Rows of three numbers up to which a table is broadcast to a scan; beyond, both sides are shuffled.
 MOST_BROADCAST = 1_000_000
 
@@ -355,36 +357,49 @@ def parity(values: np.ndarray, offsets: np.ndarray) -> list[bytes]:
     return [packed[a // 8 : b // 8] for a, b in zip(base[:-1].tolist(), base[1:].tolist(), strict=True)]
 
 
-def close_pairs(bits: list[bytes], sizes: np.ndarray, num: int, den: int) -> np.ndarray:
-    """The boolean matrix of pairs whose bitmaps do not rule out a link."""
+def close_pairs(bits: list[bytes], sizes: np.ndarray, num: int, den: int, left: np.ndarray | None = None) -> np.ndarray:
+    """The boolean matrix of pairs whose bitmaps and sizes do not rule out a link; with ``left``, only pairs across it.
+
+    The matrix is all that grows with the square of the sets: counts are held for one row at a time.
+    """
     n = len(bits)
     close = np.zeros((n, n), bool)
     width = np.array([len(b) for b in bits])
+    side = np.zeros(n, np.int64) if left is None else left
     for w in np.unique(width):
-        # rows of this width against those as wide or wider, folded
-        rows, others = np.flatnonzero(width == w), np.flatnonzero(width >= w)
-        folded = np.empty((len(others), w // 8), np.uint64)
-        for of in np.unique(width[others]):
-            some = np.flatnonzero(width[others] == of)
-            words = np.frombuffer(b"".join(bits[i] for i in others[some]), np.uint64).reshape(len(some), -1, w // 8)
-            folded[some] = np.bitwise_xor.reduce(words, axis=1)
-        mine = folded[np.searchsorted(others, rows)]
-        most = (sizes[rows][:, None] + sizes[others][None, :]) * (den - num) // (den + num)
-        for i, row in enumerate(rows):
-            apart = np.bitwise_count(folded ^ mine[i]).sum(axis=1, dtype=np.int64)
-            close[row, others] = apart <= most[i]
+        for mine_of in np.unique(side):
+            # rows of this width against those as wide or wider, folded
+            rows = np.flatnonzero((width == w) & (side == mine_of))
+            others = np.flatnonzero((width >= w) & ((left is None) | (side != mine_of)))
+            if not len(rows) or not len(others):
+                continue
+            folded, mine = (_folded(bits, width, of, w) for of in (others, rows))
+            size = sizes[others]
+            for row, own in zip(rows.tolist(), mine, strict=True):
+                m = sizes[row]
+                apart = np.bitwise_count(folded ^ own).sum(axis=1, dtype=np.int64)
+                alike = np.minimum(size, m) * den >= np.maximum(size, m) * num
+                close[row, others] = alike & (apart <= (size + m) * (den - num) // (den + num))
     close |= close.T
-    close &= np.minimum(sizes[:, None], sizes) * den >= np.maximum(sizes[:, None], sizes) * num
     np.fill_diagonal(close, False)
     return close
 
 
+def _folded(bits: list[bytes], width: np.ndarray, of: np.ndarray, w: int) -> np.ndarray:
+    """The bitmaps ``of`` as rows of ``w`` bytes."""
+    out = np.empty((len(of), w // 8), np.uint64)
+    for wide in np.unique(width[of]):
+        some = np.flatnonzero(width[of] == wide)
+        out[some] = np.bitwise_xor.reduce(np.frombuffer(b"".join(bits[i] for i in of[some]), np.uint64).reshape(len(some), -1, w // 8), axis=1)
+    return out
+
+
 def _labels(link: np.ndarray) -> np.ndarray:
     """The smallest index that each row of a link matrix reaches."""
     n = len(link)
     label = np.arange(n)
     while True:
-        best = np.where(link, label[None, :], n).min(axis=1, initial=n)
+        best = np.concatenate([np.where(link[a : a + ROWS], label[None, :], n).min(axis=1, initial=n) for a in range(0, max(n, 1), ROWS)])
         new = np.minimum(label, best)
         new = np.minimum(new, new[new])
         if (new == label).all():
@@ -397,9 +412,7 @@ def _close(num, den):
 
     def solve(held):
         names, side, sizes = (np.array([x[i] for x in held], np.int64) for i in (0, 1, 2))
-        close = close_pairs([x[3] for x in held], sizes, num, den)
-        if not (side == side[0]).all():
-            close &= side[:, None] != side[None, :]
+        close = close_pairs([x[3] for x in held], sizes, num, den, None if (side == side[0]).all() else side)
         label = _labels(close)
         some = label != np.arange(len(label))
         return pa.RecordBatch.from_arrays([_long(names[some]), _long(names[label[some]])], names=["a", "b"])
