@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cartoflow.llm.common import SPACE_RUN, shuffle_partitions, staged, text_or_empty
+from cartoflow.llm.textcore import lean
 from cartoflow.runtime import ship
 
 _EDGE = pa.schema(
@@ -96,7 +97,7 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     order = ["prefix", "sha", F.col("doc_id").asc_nulls_last()]
     dealt = keyed.repartitionByRange(shuffle_partitions(docs.sparkSession), *order)
     ordered = dealt.sortWithinPartitions("prefix", "sha", "norm", F.col("doc_id").asc_nulls_last())
-    runs = staged(ordered.select("doc_id", "sha", "norm").mapInArrow(_runs, _EDGE_DDL), "content_runs")
+    runs = staged(ordered.select("doc_id", "sha", "norm").mapInArrow(lean(_runs), _EDGE_DDL), "content_runs")
 
     # Two rows a partition: a run goes on from the edge before it when the full texts are equal.
     edges = runs.where("head is not null or tail is not null")

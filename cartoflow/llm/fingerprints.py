@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cartoflow.llm.common import shuffle_partitions, staged, text_or_empty
-from cartoflow.llm.textcore import BLOCK_BYTES, mix
+from cartoflow.llm.textcore import BLOCK_BYTES, lean, mix
 from cartoflow.runtime import ship
 
 LEVELS = 3
@@ -187,11 +187,11 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     order = F.col("doc_id").desc_nulls_last()
     rows = docs.select(F.col("doc_id").cast("long"), text_or_empty().cast("string").alias("text"))
     dealt = rows.repartitionByRange(shuffle_partitions(spark), order).sortWithinPartitions(order, "text")
-    made = staged(dealt.mapInArrow(_within, _DDL + ", pid int, head string, tail string"), "phrases")
+    made = staged(dealt.mapInArrow(lean(_within), _DDL + ", pid int, head string, tail string"), "phrases")
     edges = made.where("tail is not null")
     # one number per partition that has rows
     pids = sorted(r["pid"] for r in edges.select("pid").collect())
     pairs = spark.createDataFrame([(p, pids[(k + 1) % len(pids)]) for k, p in enumerate(pids)], "pid int, next_pid int")
     heads = edges.select(F.col("pid").alias("next_pid"), "head")
     last = edges.select("doc_id", "pid", "tail").join(pairs, "pid").join(heads, "next_pid").select("doc_id", "tail", "head")
-    return made.where("tail is null").select(*_FIELDS).unionByName(last.mapInArrow(_across, _DDL))
+    return made.where("tail is null").select(*_FIELDS).unionByName(last.mapInArrow(lean(_across), _DDL))

@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cartoflow.llm.common import staged
+from cartoflow.llm.textcore import lean
 from cartoflow.runtime import ship
 
 TRAIN_DOCS = 3000
@@ -173,7 +174,7 @@ def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> WordFirst:
     told = docs.sparkSession.createDataFrame([(x, min(1.0, train_docs / sizes[x]), k) for k, x in enumerate(langs)], "lang string, rate double, place int")
     share = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_003)) / F.lit(1_000_003.0)
     sample = labelled.join(F.broadcast(told), "lang").where(share < F.col("rate")).select("place", "text")
-    counts = sample.mapInArrow(_count, "place int, n int, gram string, c long").groupBy("n", "gram", "place").agg(F.sum("c").alias("c"))
+    counts = sample.mapInArrow(lean(_count), "place int, n int, gram string, c long").groupBy("n", "gram", "place").agg(F.sum("c").alias("c"))
     counts = staged(counts, "grams")
     tables = []
     for n in range(LONGEST + 1):
@@ -186,22 +187,15 @@ def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> WordFirst:
     return WordFirst(langs, tables)
 
 
-_models: dict[int, WordFirst] = {}
-
-
 def predict(docs: DataFrame, model: WordFirst) -> DataFrame:
     """All columns of ``docs`` with __lang_pred and __score; only the text column is an input."""
     packed = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
-    key = hash((id(packed), packed.id if hasattr(packed, "id") else 0))
     fields = [(f.name, f.dataType.simpleString()) for f in docs.schema.fields]
     ddl = ", ".join(f"`{n}` {t}" for n, t in [*fields, ("__lang_pred", "string"), ("__score", "double")])
     at = docs.columns.index("text")
 
     def run(batches):
-        if key not in _models:
-            _models.clear()
-            _models[key] = pickle.loads(packed.value)
-        model = _models[key]
+        model = pickle.loads(packed.value)  # for this task only: the worker lives on in stages that need no model
         for batch in batches:
             langs, scores = [], []
             for a in range(0, len(batch), _TEXTS):
@@ -210,7 +204,7 @@ def predict(docs: DataFrame, model: WordFirst) -> DataFrame:
                 scores += some[1]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, "__lang_pred", "__score"])
 
-    return docs.mapInArrow(run, ddl)
+    return docs.mapInArrow(lean(run), ddl)
 
 
 def identify(docs: DataFrame, **bounds) -> DataFrame:

@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from cartoflow.llm import textcore
 from cartoflow.llm.common import shuffle_partitions, staged, text_or_empty
 from cartoflow.llm.graph import components
-from cartoflow.llm.textcore import combine, mix
+from cartoflow.llm.textcore import combine, lean, mix
 from cartoflow.runtime import ship
 
 #: Second-level parts of each first-level part, where k is above SMALL_K.
@@ -479,7 +479,7 @@ def jaccard_components(docs: DataFrame, width: int = 3, num: int = 90, den: int
         for part, values, offsets in _blocks(batches, width):
             yield pa.RecordBatch.from_arrays([part.column("cls"), pa.array(parity(values, offsets), pa.binary())], names=["cls", "bits"])
 
-    described = staged(keyed.mapInArrow(describe, "doc_id long, text_hash long, n long, cls long"), "sets")
+    described = staged(keyed.mapInArrow(lean(describe), "doc_id long, text_hash long, n long, cls long"), "sets")
     class_docs = staged(
         described.where("cls <> 0").groupBy("cls").agg(F.count("*").alias("docs"), F.min("doc_id").alias("least"), F.min("n").alias("n"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("example")),
         "classes",
@@ -492,8 +492,8 @@ def jaccard_components(docs: DataFrame, width: int = 3, num: int = 90, den: int
     total = class_docs.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     buckets = max(shuffle_partitions(docs.sparkSession), -(-2 * total // GATHER))
     one_each = texts.join(_small(example(class_docs)), ["k", "text_hash"]).select("cls", "text")
-    sent = one_each.mapInArrow(_sign(width, num, den, buckets), "bucket int, cls binary, n binary, sig binary")
-    tied = sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_tie, "a long, b long")
+    sent = one_each.mapInArrow(lean(_sign(width, num, den, buckets)), "bucket int, cls binary, n binary, sig binary")
+    tied = sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(lean(_tie), "a long, b long")
     ties = staged(tied.distinct(), "ties")
     units = components(ties).select(F.col("node").alias("cls"), F.col("root").alias("unit"))
     crowded = units.groupBy("unit").agg(F.count("*").alias("all")).where(F.col("all") > BLOCK).select("unit")
@@ -502,20 +502,20 @@ def jaccard_components(docs: DataFrame, width: int = 3, num: int = 90, den: int
         # a unit too large for one block is cut where no chain of parity bitmaps holds it together
         among = units.join(crowded, "unit", "left_semi").join(class_docs, "cls").select("unit", "cls", "n", "docs", "example")
         among = staged(_dealt(among, num, den, WIDE), "among")
-        bits = texts.join(_small(example(among)), ["k", "text_hash"]).select("cls", "text").mapInArrow(parities, "cls long, bits binary").dropDuplicates(["cls"])
+        bits = texts.join(_small(example(among)), ["k", "text_hash"]).select("cls", "text").mapInArrow(lean(parities), "cls long, bits binary").dropDuplicates(["cls"])
         met = among.select("unit", "block", "cls", "n").join(_meetings(among, num, den), ["unit", "block"]).join(bits, "cls")
         met = met.select("unit", "first", "second", "cls", "block", "n", "bits").repartition(F.col("unit"), F.col("first"), F.col("second")).sortWithinPartitions("unit", "first", "second", "cls")
-        apart = components(staged(met.mapInArrow(_close(num, den), "a long, b long"), "close"))
+        apart = components(staged(met.mapInArrow(lean(_close(num, den)), "a long, b long"), "close"))
         units = units.join(crowded, "unit", "left_anti").unionByName(apart.select(F.col("node").alias("cls"), F.col("root").alias("unit")))
     members = _dealt(units.join(class_docs, "cls"), num, den, BLOCK)
     members = staged(members.select("unit", "cls", "block", "docs", "n", "example"), "members")
     sides = _meetings(members, num, den)
-    examples = texts.join(_small(example(members)), ["k", "text_hash"]).select("cls", "text").mapInArrow(sets, "cls long, elements array<long>")
+    examples = texts.join(_small(example(members)), ["k", "text_hash"]).select("cls", "text").mapInArrow(lean(sets), "cls long, elements array<long>")
     examples = staged(examples.dropDuplicates(["cls"]), "examples")
     work = members.select("unit", "block", "cls", "docs").join(sides, ["unit", "block"]).join(examples, "cls")
     work = work.select("unit", "first", "second", "cls", "block", "docs", "elements")
     ordered = work.repartition(F.col("unit"), F.col("first"), F.col("second")).sortWithinPartitions("unit", "first", "second", "cls")
-    verified = staged(ordered.mapInArrow(_verify(num, den), "cls long, other long, links long"), "links")
+    verified = staged(ordered.mapInArrow(lean(_verify(num, den)), "cls long, other long, links long"), "links")
     joined = components(verified.select(F.col("cls").alias("a"), F.col("other").alias("b")))
     degree = verified.groupBy("cls").agg(F.sum("links").alias("links"))
     owned = class_docs.join(joined.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))

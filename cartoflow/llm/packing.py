@@ -17,7 +17,7 @@ from __future__ import annotations
 import heapq
 import json
 import zlib
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cartoflow.llm.textcore import lean
 from cartoflow.runtime import ship
 
 CAPACITY = 1024
@@ -49,8 +50,6 @@ class ByteBpe:
     def __init__(self, path: str):
         import tiktoken
 
-        from tokenizers import Tokenizer
-
         with open(path, encoding="utf-8") as file:
             model = json.load(file)
         added = {x["content"] for x in model.get("added_tokens", ())}
@@ -59,9 +58,16 @@ class ByteBpe:
         ranks = {bytes(byte_of[c] for c in piece): i for piece, i in model["model"]["vocab"].items() if piece not in added}
         pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
         self.fast = tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.exact = Tokenizer.from_file(path)
+        self.path = path
         self.added = sorted(added)
 
+    @cached_property
+    def exact(self):
+        """The library's own tokenizer, loaded only where a text needs it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def ids(self, text: str) -> np.ndarray:
         if not any(x in text for x in self.added):
             try:
@@ -185,4 +191,4 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> Data
         yield packer.rows()
 
     ship(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, _DDL)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(run), _DDL)

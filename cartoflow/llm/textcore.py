@@ -9,6 +9,8 @@ after an executor was lost produces the same values.
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -51,6 +53,25 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
+def _hand_back() -> None:
+    """Give the system what this process has freed but still holds."""
+    _powers[:] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc; other libraries have none
+    if trim is not None:
+        trim(0)
+
+
+def lean(run):
+    """``run`` as a task that hands memory back at its end: Spark keeps the worker process for tasks of later stages."""
+
+    def whole(batches):
+        yield from run(batches)
+        _hand_back()
+
+    return whole
+
+
 def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes and the n + 1 offsets of a string column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
