@@ -213,13 +213,20 @@ def read_geoid(lines: DataFrame, table: str) -> DataFrame:
 
 
 def undulation(fixes: DataFrame, grid: DataFrame, lat_min: float, lon_min: float, step: float) -> DataFrame:
-    """Bilinear geoid height of each fix: four equi-joins become one on the cell's corners; none outside the grid."""
+    """Bilinear geoid height of each fix: one equi-join on the cell, which holds its corners; none outside the grid.
+
+    Every fix is a row of its own, also of fixes that share an id; a corner without weight may be missing.
+    """
     gi, gj = F.floor((F.col("lat") - lat_min) / step), F.floor((F.col("lon") - lon_min) / step)
-    u, v = (F.col("lat") - lat_min) / step - gi, (F.col("lon") - lon_min) / step - gj
-    corner = F.explode(F.array(*[F.struct((gi + a).alias("i"), (gj + b).alias("j"), ((u if a else 1 - u) * (v if b else 1 - v)).alias("w")) for a in (0, 1) for b in (0, 1)]))
-    nodes = grid.select(F.round((F.col("lat") - lat_min) / step).cast("long").alias("i"), F.round((F.col("lon") - lon_min) / step).cast("long").alias("j"), "n")
-    spread = fixes.select("id", corner.alias("c")).select("id", "c.*").join(nodes, ["i", "j"])
-    return spread.groupBy("id").agg(F.sum(F.col("w") * F.col("n")).alias("undulation"), F.count("*").alias("corners")).where("corners = 4").drop("corners")
+    nodes = grid.select(F.round((F.col("lat") - lat_min) / step).cast("long").alias("i"), F.round((F.col("lon") - lon_min) / step).cast("long").alias("j"), F.col("n").alias("n00"))
+    cells = nodes
+    for a, b in ((0, 1), (1, 0), (1, 1)):
+        cells = cells.join(nodes.select((F.col("i") - a).alias("i"), (F.col("j") - b).alias("j"), F.col("n00").alias(f"n{a}{b}")), ["i", "j"], "left")
+    u, v = (F.col("lat") - lat_min) / step - F.col("i"), (F.col("lon") - lon_min) / step - F.col("j")
+    parts = [((u if a else 1 - u) * (v if b else 1 - v), F.col(f"n{a}{b}")) for a in (0, 1) for b in (0, 1)]
+    height = sum((F.when(w == 0, 0.0).otherwise(w * n) for w, n in parts), F.lit(0.0))
+    found = fixes.select("id", "lat", "lon", gi.alias("i"), gj.alias("j")).join(cells, ["i", "j"])
+    return found.select("id", height.alias("undulation")).where("undulation is not null")
 
 
 def point_in_polygon(points: DataFrame, edges: DataFrame, name: str = "area") -> DataFrame:

@@ -166,3 +166,13 @@ def test_filters_and_columns_reach_the_scan(spark, sf):
     plan = plans.QUERIES["gnss_gate"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(event_type,signup)" in plan.split("PushedFilters: ")[1].split("]")[0]
     assert "o_orderpriority" not in plans.QUERIES["travel_dist"](spark, sf)._jdf.queryExecution().executedPlan().toString().split("ReadSchema")[-1]
+
+
+def test_geoid_height_of_every_fix(spark):
+    """Fixes that share an id, or have none, are rows of their own; the last grid line is inside."""
+    from cartoflow.sources import formats
+
+    grid = spark.createDataFrame([(i / 2, j / 2, i / 2 + 10.0 * j) for i in range(3) for j in range(3)], "lat double, lon double, n double")
+    fixes = spark.createDataFrame([(1, 0.25, 0.25), (1, 0.75, 0.5), (None, 0.5, 0.5), (2, 1.0, 1.0), (3, 1.2, 0.0)], "id long, lat double, lon double")
+    got = sorted((r.id or 0, r.undulation) for r in formats.undulation(fixes, grid, 0.0, 0.0, 0.5).collect())
+    assert got == [(0, 10.5), (1, 5.25), (1, 10.75), (2, 21.0)]
