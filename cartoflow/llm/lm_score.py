@@ -23,7 +23,6 @@ count is 0; an empty table gives an empty result; further columns are ignored.
 from __future__ import annotations
 
 import functools
-import gc
 import math
 
 import numpy as np
@@ -32,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cartoflow.llm import textcore
-from cartoflow.llm.common import drop_staged, staged, staged_count
+from cartoflow.llm.common import drop_staged, settle, staged, staged_count
 from cartoflow.runtime import ship
 
 ORDER = 3
@@ -358,12 +357,6 @@ def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return np.where(keys[at] == wanted, at, -1)
 
 
-def _settle(spark) -> None:
-    """Lets go of what finished stages have shuffled."""
-    gc.collect()
-    spark._jvm.java.lang.System.gc()
-
-
 def lm_scores(docs: DataFrame, order: int = ORDER, share: float = SHARE) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of ``docs`` (doc_id, text)."""
     spark, since = docs.sparkSession, staged_count()
@@ -386,12 +379,12 @@ def lm_scores(docs: DataFrame, order: int = ORDER, share: float = SHARE) -> Data
     for level in range(2, order + 1):
         low = levels[-1]
         grown = _count_level(training, level, buckets, f"grams{level}")
-        _settle(spark)
+        settle(spark)
         made = grown.join(low.select(F.col("k").alias("a"), F.col("c").alias("context")), "a").join(low.select(F.col("k").alias("b"), F.col("p").alias("below")), "b")
         made = staged(made.select("k", "a", "c", "below", ((F.col("c") - F.lit(DISCOUNT)) / F.col("context")).alias("p")), f"level{level}")
         drop_staged(spark, staged_count() - 2)  # the counts alone
         del grown
-        _settle(spark)
+        settle(spark)
         levels.append(made)
         left = [F.greatest(1 - F.sum(x), F.lit(1e-12)) for x in ("p", "below")]
         backs.append(staged(made.groupBy("a").agg(F.log10(left[0] / left[1]).alias("back")), f"backs{level}"))
@@ -407,7 +400,7 @@ def lm_scores(docs: DataFrame, order: int = ORDER, share: float = SHARE) -> Data
         weights.append(staged(made, f"weights{i + 1}"))
     del levels, backs, made, lexicon, counted
     drop_staged(spark, since, len(weights))
-    _settle(spark)
+    settle(spark)
 
     def frequent(df):
         # at most 1 / share rows
@@ -442,7 +435,7 @@ def lm_scores(docs: DataFrame, order: int = ORDER, share: float = SHARE) -> Data
     for level, df in enumerate(weights, 1):
         found = _looked_up(rows, df, shared, level, buckets, f"found{level}")
         parts.append(found if level == 1 else found.withColumn("n", F.lit(0).cast("long")))
-        _settle(spark)
+        settle(spark)
     added = functools.reduce(DataFrame.unionByName, parts)
     added = added.groupBy("rid").agg(F.sum("base").alias("base_part"), F.sum("w").alias("part"), F.sum("n").alias("n"))
     copies = walked.groupBy("rid").agg(F.count("*").alias("copies"))

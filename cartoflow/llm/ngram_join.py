@@ -17,8 +17,12 @@ share a signature are tied to a smallest class of the signature, never as all pa
 a task first, so that each task sends a signature once, then over all tasks; the connected units of those ties are verified exactly,
 block against block, inside tasks that return a spanning forest and link counts instead of
 pairs.  Passages that many documents share can tie more classes into one unit than a block
-holds; such a unit is first cut by parity bitmaps, whose distance never exceeds that of the
-sets.  A unit's classes are dealt to blocks of about ``BLOCK`` by size band and hash, and only
+holds, and at any size most classes into one.  The classes of such units are tied anew by
+prefixes: with the shingles of every set ordered from rare to frequent, two similar sets of
+n >= m shingles share one of the first n - ceil(n * num / den) + 1 and m - ceil(m * num / den) + 1;
+a shingle that no other set has ties nothing, so that common passages, which come last, tie
+nothing either.  What is still too large for a block is cut by parity bitmaps, whose distance
+never exceeds that of the sets.  A unit's classes are dealt to blocks of about ``BLOCK`` by size band and hash, and only
 blocks of one band or of neighbouring bands meet, so a large unit is the work of many tasks.
 The number of such meetings grows with the square of the different texts of one unit and band:
 the links themselves, which are counted one by one, do too.
@@ -41,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cartoflow.llm import textcore
-from cartoflow.llm.common import shuffle_partitions, staged, text_or_empty
+from cartoflow.llm.common import settle, shuffle_partitions, staged, text_or_empty
 from cartoflow.llm.graph import components
 from cartoflow.llm.textcore import combine, lean, mix
 from cartoflow.runtime import ship
@@ -51,6 +55,8 @@ SECOND = 3
 SMALL_K = 3
 #: Signatures that a task gathers before it sends them.
 GATHER = 500_000
+#: Signatures of a class that one run counts.
+_LONGEST = (1 << 16) - 1
 #: Classes verified against each other at once.
 BLOCK = 512
 #: Classes whose bitmaps are compared at once.
@@ -213,7 +219,8 @@ def linked(rows: list[np.ndarray], sizes: np.ndarray, num: int, den: int, left:
     keep = shared[ident]
     owner, ident = owner[keep], (np.cumsum(shared) - 1)[ident[keep]]
     both = np.zeros((n, n), np.float32)
-    step = max(1, 4_000_000 // n)
+    # a unit of few classes gets no more columns than it has shingles to share
+    step = max(1, min(4_000_000 // n, int(shared.sum())))
     for start in range(0, int(shared.sum()), step):
         a, b = np.searchsorted(ident, [start, start + step])
         dense = np.zeros((n, step), np.float32)
@@ -242,31 +249,45 @@ def _distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return pairs[:, 0], pairs[:, 1]
 
 
+_RUNS = "bucket int, cls binary, n binary, sig binary"
+
+
+def _runs(sig: np.ndarray, cls: np.ndarray, buckets: int, *more: np.ndarray):
+    """Per bucket of signatures: its number, classes, their numbers of signatures there, the signatures' low five bytes, and ``more`` of each class."""
+    bucket = ((sig >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
+    order = np.lexsort((cls, bucket))
+    sig, cls, bucket = sig[order], cls[order], bucket[order]
+    low = np.ascontiguousarray(sig.view(np.uint8).reshape(-1, 8)[:, :5])
+    new = np.ones(len(sig), bool)
+    new[1:] = (cls[1:] != cls[:-1]) | (bucket[1:] != bucket[:-1])
+    at = np.flatnonzero(new)
+    # a run counts to what two bytes hold; a longer one is several
+    size = np.diff(np.append(at, len(sig)))
+    if size.max(initial=0) > _LONGEST:
+        at = np.concatenate([np.arange(a, a + n, _LONGEST) for a, n in zip(at.tolist(), size.tolist(), strict=True)])
+        size = np.diff(np.append(at, len(sig)))
+    numbers, starts = np.unique(bucket[at], return_index=True)
+    ends = np.append(starts, len(at))[1:]
+    edges = np.append(at, len(sig))
+    size, cls, more = size.astype(np.uint16), cls[at], [x[order][at] for x in more]
+    return [(n, cls[i:j].tobytes(), size[i:j].tobytes(), low[edges[i] : edges[j]].tobytes(), *(x[i:j].tobytes() for x in more)) for n, i, j in zip(numbers.tolist(), starts, ends, strict=True)]
+
+
+def _stars_sent(pending, buckets):
+    """Signatures and classes, each signature once, and the ties found on the way, as rows of ``_RUNS``."""
+    sig, cls, center, first = _stars(*(np.concatenate(x) for x in zip(*pending, strict=True)))
+    a, b = _distinct(cls, center)
+    rows = _runs(sig[first], cls[first], buckets)
+    rows += [(n, a[n::buckets].tobytes(), b[n::buckets].tobytes(), None) for n in range(min(buckets, len(a)))]
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "cls", "n", "sig"])
+
+
 def _sign(width, num, den, buckets):
     """Signatures by bucket: classes with their numbers of signatures and the signatures' low five bytes; ties found on the way have none.
 
     The low bytes and the bucket are all that is compared later: signatures that agree in them by chance give one tie too many.
     """
 
-    def flush(pending):
-        sig, cls, center, first = _stars(*(np.concatenate(x) for x in zip(*pending, strict=True)))
-        a, b = _distinct(cls, center)
-        sig, cls = sig[first], cls[first]
-        bucket = ((sig >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
-        order = np.lexsort((cls, bucket))
-        sig, cls, bucket = sig[order], cls[order], bucket[order]
-        low = np.ascontiguousarray(sig.view(np.uint8).reshape(-1, 8)[:, :5])
-        new = np.ones(len(sig), bool)
-        new[1:] = (cls[1:] != cls[:-1]) | (bucket[1:] != bucket[:-1])
-        at = np.flatnonzero(new)
-        size = np.diff(np.append(at, len(sig))).astype(np.uint16)
-        numbers, starts = np.unique(bucket[at], return_index=True)
-        ends = np.append(starts, len(at))[1:]
-        edges = np.append(at, len(sig))
-        rows = [(n, cls[at[i:j]].tobytes(), size[i:j].tobytes(), low[edges[i] : edges[j]].tobytes()) for n, i, j in zip(numbers.tolist(), starts, ends, strict=True)]
-        rows += [(n, a[n::buckets].tobytes(), b[n::buckets].tobytes(), None) for n in range(min(buckets, len(a)))]
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "cls", "n", "sig"])
-
     def run(batches):
         scheme, pending, size = Scheme(num, den), [], 0
         for part, values, offsets in _blocks(batches, width):
@@ -274,10 +295,10 @@ def _sign(width, num, den, buckets):
             pending.append((found, part.column("cls").to_numpy()[owner]))
             size += len(found)
             if size >= GATHER:
-                yield from flush(pending)
+                yield _stars_sent(pending, buckets)
                 pending, size = [], 0
         if size:
-            yield from flush(pending)
+            yield _stars_sent(pending, buckets)
 
     return run
 
@@ -308,6 +329,110 @@ def _tie(batches):
         yield pa.RecordBatch.from_arrays([_long(x) for x in solve(held)], names=["a", "b"])
 
 
+def _spread(width, buckets):
+    """Shingles by bucket, as ``_runs`` with the size of each class."""
+
+    def flush(pending):
+        rows = _runs(*(np.concatenate(x) for x in list(zip(*pending, strict=True))[:2]), buckets, np.concatenate([x[2] for x in pending]))
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), *[pa.binary()] * 4), strict=True)], names=["bucket", "cls", "n", "sig", "size"])
+
+    def run(batches):
+        pending, held = [], 0
+        for part, values, offsets in _blocks(batches, width):
+            size = np.diff(offsets)
+            pending.append((values, np.repeat(part.column("cls").to_numpy(), size), np.repeat(size, size).astype(np.int32)))
+            held += len(values)
+            if held >= GATHER:
+                yield flush(pending)
+                pending, held = [], 0
+        if held:
+            yield flush(pending)
+
+    return run
+
+
+def _by_bucket(batches):
+    """Each bucket of a partition sorted by bucket, with its rows' other values."""
+    held, now = [], None
+    for batch in batches:
+        for bucket, *values in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if bucket != now and held:
+                yield now, held
+                held = []
+            now = bucket
+            held.append(values)
+    if held:
+        yield now, held
+
+
+def _shared(buckets):
+    """Of the shingles in each bucket those that occur twice, with their counts, by class: shingles are their bucket and low five bytes from here."""
+
+    def flush(pending):
+        cls, size, name, count = (np.concatenate(x) for x in zip(*pending, strict=True))
+        bucket = (cls % buckets).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")
+        numbers, starts = np.unique(bucket[order], return_index=True)
+        ends = np.append(starts, len(order))[1:]
+        columns = [[x[a:b].tobytes() for a, b in zip(starts, ends, strict=True)] for x in (c[order] for c in (cls, size, name, count))]
+        return pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), *(pa.array(x, pa.binary()) for x in columns)], names=["bucket", "cls", "size", "name", "count"])
+
+    def run(batches):
+        pending, gathered = [], 0
+        for bucket, held in _by_bucket(batches):
+            times = np.concatenate([np.frombuffer(x[1], np.uint16) for x in held])
+            cls, size = (np.repeat(np.concatenate([np.frombuffer(x[i], t) for x in held]), times) for i, t in ((0, np.int64), (3, np.int32)))
+            low = np.concatenate([np.frombuffer(x[2], np.uint8).reshape(-1, 5) for x in held])
+            name = np.zeros((len(low), 8), np.uint8)
+            name[:, :5] = low
+            name = name.view(np.uint64)[:, 0] | np.uint64(bucket << 40)
+            order = np.argsort(name)
+            name = name[order]
+            new = np.ones(len(name), bool)
+            new[1:] = name[1:] != name[:-1]
+            at = np.flatnonzero(new)
+            count = np.diff(np.append(at, len(name)))
+            count = np.repeat(np.minimum(count, _LONGEST).astype(np.uint16), count)
+            many = count > 1
+            pending.append((cls[order][many], size[order][many], name[many], count[many]))
+            gathered += int(many.sum())
+            if gathered >= GATHER:
+                yield flush(pending)
+                pending, gathered = [], 0
+        if gathered:
+            yield flush(pending)
+
+    return run
+
+
+def _prefixes(num, den, buckets):
+    """The shared shingles in each class's prefix: its shingles that occur once come first, then the others from rare to frequent."""
+
+    def run(batches):
+        pending, gathered = [], 0
+        for _, held in _by_bucket(batches):
+            cls, size, name, count = (np.concatenate([np.frombuffer(x[i], t) for x in held]) for i, t in enumerate((np.int64, np.int32, np.uint64, np.uint16)))
+            order = np.lexsort((name, count, cls))
+            cls, size, name = cls[order], size[order].astype(np.int64), name[order]
+            new = np.ones(len(cls), bool)
+            new[1:] = cls[1:] != cls[:-1]
+            at = np.flatnonzero(new)
+            shared = np.diff(np.append(at, len(cls)))
+            n = size[at]
+            least = -(-n * num // den)
+            take = n - least + 1 - (n - shared)
+            keep = np.arange(len(cls)) - np.repeat(at, shared) < np.repeat(take, shared)
+            pending.append((name[keep], cls[keep]))
+            gathered += int(keep.sum())
+            if gathered >= GATHER:
+                yield _stars_sent(pending, buckets)
+                pending, gathered = [], 0
+        if gathered:
+            yield _stars_sent(pending, buckets)
+
+    return run
+
+
 def _verify(num, den):
     """Per unit and block pair: a spanning forest of the links, and each class's number of linked documents."""
 
@@ -492,12 +617,28 @@ def jaccard_components(docs: DataFrame, width: int = 3, num: int = 90, den: int
     total = class_docs.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     buckets = max(shuffle_partitions(docs.sparkSession), -(-2 * total // GATHER))
     one_each = texts.join(_small(example(class_docs)), ["k", "text_hash"]).select("cls", "text")
-    sent = one_each.mapInArrow(lean(_sign(width, num, den, buckets)), "bucket int, cls binary, n binary, sig binary")
-    tied = sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(lean(_tie), "a long, b long")
-    ties = staged(tied.distinct(), "ties")
-    units = components(ties).select(F.col("node").alias("cls"), F.col("root").alias("unit"))
-    crowded = units.groupBy("unit").agg(F.count("*").alias("all")).where(F.col("all") > BLOCK).select("unit")
-    crowded = staged(crowded, "crowded", 1)
+    
+    def tied(sent, buckets, name):
+        found = sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(lean(_tie), "a long, b long")
+        return components(staged(found.distinct(), name)).select(F.col("node").alias("cls"), F.col("root").alias("unit"))
+
+    def too_large(units):
+        return staged(units.groupBy("unit").agg(F.count("*").alias("all")).where(F.col("all") > BLOCK).select("unit"), "crowded", 1)
+
+    units = tied(one_each.mapInArrow(lean(_sign(width, num, den, buckets)), _RUNS), buckets, "ties")
+    settle(docs.sparkSession)
+    crowded = too_large(units)
+    if not crowded.isEmpty():
+        # a unit too large for one block is tied anew by the rarest shingles of its classes
+        among = staged(units.join(crowded, "unit", "left_semi").join(class_docs, "cls").select("cls", "n", "example"), "among")
+        number = max(shuffle_partitions(docs.sparkSession), -(-among.agg(F.sum("n")).first()[0] // GATHER))
+        shingles = texts.join(_small(example(among)), ["k", "text_hash"]).select("cls", "text").mapInArrow(lean(_spread(width, number)), f"{_RUNS}, size binary")
+        twice = shingles.repartition(number, "bucket").sortWithinPartitions("bucket").mapInArrow(lean(_shared(number)), "bucket int, cls binary, size binary, name binary, count binary")
+        first = twice.repartition(number, "bucket").sortWithinPartitions("bucket").mapInArrow(lean(_prefixes(num, den, number)), _RUNS)
+        units = units.join(crowded, "unit", "left_anti").unionByName(tied(first, number, "prefixes"))
+        del shingles, twice, first
+        settle(docs.sparkSession)
+        crowded = too_large(units)
     if not crowded.isEmpty():
         # a unit too large for one block is cut where no chain of parity bitmaps holds it together
         among = units.join(crowded, "unit", "left_semi").join(class_docs, "cls").select("unit", "cls", "n", "docs", "example")

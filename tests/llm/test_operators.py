@@ -513,3 +513,38 @@ def test_parity_bitmaps_bound_the_difference():
     n = len(sets)
     true = np.array([[i != j and 100 * len(np.intersect1d(a, b)) >= 80 * len(np.union1d(a, b)) for j, b in enumerate(sets)] for i, a in enumerate(sets)])
     assert (close | ~true).all() and true.sum() > n and close.sum() < 4 * true.sum()
+
+
+def test_common_passages_do_not_make_one_unit(spark, monkeypatch):
+    """Documents made of a few common passages and words of their own share signatures, but no rare shingle of a prefix."""
+    import random
+
+    compared = []
+    wide = ngram_join._close
+    monkeypatch.setattr(ngram_join, "BLOCK", 8)
+    monkeypatch.setattr(ngram_join, "_close", lambda *a: compared.append(a) or wide(*a))
+    rng = random.Random(8)
+    passages = [[f"p{k}x{i}" for i in range(60)] for k in range(4)]
+    rows = []
+    for i in range(60):
+        own = [f"own{i}x{j}" for j in range(25)]
+        rows.append((i, " ".join([*rng.choice(passages), *own])))
+    for i in range(6):
+        words = rows[i * 9][1].split()
+        rows.append((len(rows), " ".join([*words[:-1], "changed"])))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.component_id, r.n_links) for r in ngram_join.jaccard_components(df, 5, 80).collect()}
+    copied = {i * 9: 60 + i for i in range(6)}
+    assert got == {i: (i, int(i in copied)) for i in range(60)} | {copy: (i, 1) for i, copy in copied.items()}
+    assert not compared
+
+
+def test_verifying_a_small_unit_takes_little_memory():
+    import tracemalloc
+
+    rows = [np.arange(k, 300 + k, dtype=np.uint64) for k in range(3)]
+    tracemalloc.start()
+    link = ngram_join.linked(rows, np.array([300, 300, 300]), 80, 100)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert link.sum() == 6 and most < 1_000_000
