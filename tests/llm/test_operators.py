@@ -10,8 +10,8 @@ import zlib
 import numpy as np
 import pytest
 
-from cartoflow.llm import exact_dedup, fingerprints, langid, lm_score, mixing, ngram_join, packing, pii, queries, suffix_dedup, token_counts
-from cartoflow.llm.common import staged
+from cartoflow.llm import exact_dedup, fingerprints, graph, langid, lm_score, mixing, ngram_join, packing, pii, queries, suffix_dedup, token_counts
+from cartoflow.llm.common import staged, staged_count
 from cartoflow.llm.suffix_array import suffix_array
 
 SPACE = r"[\x20\x09-\x0D]+"
@@ -515,6 +515,19 @@ def test_parity_bitmaps_bound_the_difference():
     assert (close | ~true).all() and true.sum() > n and close.sum() < 4 * true.sum()
 
 
+@pytest.mark.parametrize("most", [0, 150, 10**6])
+def test_components_of_paths_and_cycles(spark, monkeypatch, most):
+    monkeypatch.setattr(graph, "MOST_ALONE", most)
+    rng = np.random.default_rng(2)
+    names = rng.permutation(10**6)[:400] - 500_000
+    edges = [(names[i], names[i + 1]) for i in range(199)] + [(names[200 + i], names[200 + (i + 1) % 100]) for i in range(100)] + [(names[i], names[i]) for i in range(300, 310)]
+    before = staged_count()
+    got = {r.node: r.root for r in graph.components(spark.createDataFrame([(int(a), int(b)) for a, b in edges], "a long, b long").repartition(5)).collect()}
+    assert got == {int(x): int(min(part)) for part in (names[:200], names[200:300]) for x in part}
+    # rounds write a table each
+    assert most < 10**6 or staged_count() - before == 1
+
+
 def test_common_passages_do_not_make_one_unit(spark, monkeypatch):
     """Documents made of a few common passages and words of their own share signatures, but no rare shingle of a prefix."""
     import random
