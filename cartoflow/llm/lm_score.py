@@ -7,13 +7,13 @@ the corpus, absolutely discounted.  ``Automaton`` is that model on one machine:
 states with an arc per kept continuation and a failure arc, weighted by the backoff mass, to
 the next shorter context.
 
-Over the cluster the failure arcs' weights are pushed into the n-grams: a kept n-gram weighs
-log p less the log p of its last n - 1 words, less the backoff weight of its first n - 1, plus
-its own backoff weight as a context.  The walk's score is then the sum of the weights of all
-kept n-grams of a text, and counts, weights and look-ups are all joins by hash.  N-grams that
-make up a share ``SHARE`` of the training tokens are broadcast (at most 1 / SHARE a level) and
-looked up while reading; all others are sent in blocks to their weights.  The share moves work
-only, no score.
+Over the cluster documents are gathered to blocks, written once as places in the block's list of
+words.  Level by level a block sends its different n-grams, whose two shorter n-grams are kept,
+with their counts to buckets (ranges of the key); the bucket adds up and tells each block the
+count of each key it sent, and one block of each key that it answers for it.  That block adds the
+n-gram's probability to its context; contexts are added up in buckets likewise and their backoff
+weights told to the blocks that ask.  With counts and backoff weights of all its n-grams a block
+scores its documents by itself.  Blocks and replies are tables dealt by block, joined in place.
 
 Defined results: null text is empty (its only token is the end); a null id digests as the
 empty string; rows with equal ids are scored separately; without training documents every
@@ -22,25 +22,26 @@ count is 0; an empty table gives an empty result; further columns are ignored.
 
 from __future__ import annotations
 
-import functools
+import itertools
 import math
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cartoflow.llm import textcore
-from cartoflow.llm.common import drop_staged, settle, staged, staged_count
+from cartoflow.llm.common import drop_staged, settle, staged, staged_by, staged_count
 from cartoflow.runtime import ship
 
 ORDER = 3
 #: Occurrences from which an n-gram is kept.
 LEAST = 2
-#: Share of the training tokens from which an n-gram is broadcast.
+#: Share of the training tokens from which an n-gram was broadcast; without effect.
 SHARE = 1e-6
-#: Training tokens a bucket of n-grams.
-PER_BUCKET = 500_000
+#: Tokens a bucket of n-grams, and a block of documents.
+PER_BUCKET, BLOCK_TOKENS = 1_000_000, 1_000_000
 ALPHA = 0.1
 DISCOUNT = 0.5
 #: Tokens of a part of a long document that is walked by itself.
@@ -48,6 +49,7 @@ PART = 512
 #: The end token's name among the hashes of words.
 END = np.uint64(0x656E64)
 _SHIFT = np.uint64(32)
+_CODEC = pa.Codec("zstd", compression_level=1)
 
 
 def crc_of_id(column: str = "doc_id"):
@@ -73,38 +75,6 @@ def _token_blocks(batches, size=4 * textcore.BLOCK_BYTES):
             yield batch.slice(a, b - a), *tokens(flat[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
 
 
-def _emit(pending: list[np.ndarray]) -> pa.RecordBatch:
-    keys, counts = np.unique(np.concatenate(pending), return_counts=True)
-    return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts.astype(np.int64))], names=["k", "c"])
-
-
-#: Keys a task gathers before it emits their counts.
-_GATHER = 6_000_000
-
-
-def _counted(keys_of):
-    """A task that counts the 64-bit keys ``keys_of(batch rows, tokens, offsets)`` yields."""
-
-    def run(batches):
-        pending, size = [], 0
-        for part, found, at in _token_blocks(batches):
-            keys = keys_of(part, found, at)
-            pending.append(keys)
-            size += len(keys)
-            if size >= _GATHER:
-                yield _emit(pending)
-                pending, size = [], 0
-        if pending:
-            yield _emit(pending)
-
-    return run
-
-
-def _training_mask(part, at: np.ndarray) -> np.ndarray:
-    trains = ~np.asarray(part.column("held_out").to_numpy(zero_copy_only=False), bool)
-    return np.repeat(trains, np.diff(at))
-
-
 class Automaton:
     """States and arcs as sorted arrays; state 0 is the empty context."""
 
@@ -221,235 +191,304 @@ class Automaton:
         return np.bincount(doc[order], total, len(length))
 
 
-def _grams(found: np.ndarray, at: np.ndarray, order: int):
-    """Of each level from 1 on the keys of all n-grams and, from 2 on, of their first and last n - 1 words, with their last token's place."""
-    position = np.arange(len(found)) - np.repeat(at[:-1], np.diff(at))
-    keys, where = found, np.arange(len(found))
-    yield keys, None, None, where
-    for level in range(2, order + 1):
-        inside = position[where[1:]] >= level - 1
-        first, last, where = keys[:-1][inside], keys[1:][inside], where[1:][inside]
-        keys = textcore.combine(first, last)
-        yield keys, first, last, where
+def _pack(values: np.ndarray) -> bytes:
+    """Values as compressed planes of their bytes, which leaves little of planes that are mostly zero."""
+    values = np.ascontiguousarray(values)
+    planes = np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T).tobytes()
+    return len(values).to_bytes(8, "little") + (_CODEC.compress(planes, asbytes=True) if planes else b"")
+
+
+def _unpack(data: bytes, kind) -> np.ndarray:
+    n, size = int.from_bytes(data[:8], "little"), np.dtype(kind).itemsize
+    if not n:
+        return np.zeros(0, kind)
+    planes = np.frombuffer(_CODEC.decompress(data[8:], n * size), np.uint8).reshape(size, n)
+    return np.ascontiguousarray(planes.T).reshape(-1).view(kind)
+
+
+def _pack_keys(keys: np.ndarray) -> bytes:
+    """Ascending keys by their differences."""
+    return _pack(np.diff(keys, prepend=np.uint64(0)))
+
+
+def _unpack_keys(data: bytes) -> np.ndarray:
+    return np.cumsum(_unpack(data, np.uint64), dtype=np.uint64)
+
+
+#: What a block of documents holds: its documents, its words (most frequent first) and the place of each token's word.
+_BLOCK = "block long, n_tokens long, n_train long, ids binary, held binary, lengths binary, words binary, tokens binary"
+
+
+def _to_blocks(batches):
+    """Documents gathered to blocks of about ``BLOCK_TOKENS`` tokens, one row each."""
+    task, made, parts, size = TaskContext.get().partitionId(), 0, [], 0
+
+    def row():
+        found, lengths = (np.concatenate([x[i] for x in parts]) for i in (1, 2))
+        held = np.concatenate([x[3] for x in parts])
+        words, place, counts = np.unique(found, return_inverse=True, return_counts=True)
+        order = np.argsort(-counts, kind="stable")
+        rank = np.empty(len(words), np.uint32)
+        rank[order] = np.arange(len(words), dtype=np.uint32)
+        ids = pa.concat_arrays([x[0] for x in parts])
+        null = np.asarray(ids.is_null().to_numpy(zero_copy_only=False), bool)
+        number = np.column_stack([ids.fill_null(0).to_numpy(), null.astype(np.int64)]).ravel()
+        columns = [_pack(number), _pack(held.astype(np.uint8)), _pack(lengths), _pack(words[order]), _pack(rank[place])]
+        sizes = [(task << 32) | made, len(found), int(lengths[~held].sum())]
+        return pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in sizes] + [pa.array([x], pa.binary()) for x in columns], names=["block", "n_tokens", "n_train", "ids", "held", "lengths", "words", "tokens"])
+
+    for part, found, at in _token_blocks(batches, textcore.BLOCK_BYTES * 2):
+        held = np.asarray(part.column("held_out").to_numpy(zero_copy_only=False), bool)
+        parts.append((part.column("doc_id"), found, np.diff(at), held))
+        size += len(found)
+        if size >= BLOCK_TOKENS:
+            yield row()
+            made, parts, size = made + 1, [], 0
+    if size:
+        yield row()
+
+
+class _Level:
+    """The n-grams of one length in a block: their ends, different keys, and what the other blocks have told of them."""
+
+    def __init__(self, keys, inverse, where, first, n):
+        self.keys, self.where, self.first = keys, where, first
+        #: the place among ``keys`` of the n-gram that ends at each token, or -1
+        self.place = np.full(n, -1, np.int32)
+        self.place[where] = inverse
+        self.counts = self.own = self.back = None
+
+    def tell(self, reply: np.ndarray) -> None:
+        self.counts, self.own = (reply >> 1).astype(np.int64), (reply & 1).astype(bool)
+        #: occurrences in training of the n-gram that ends at each token, 0 if it is not kept
+        self.count_at = np.where(self.place >= 0, self.counts[self.place], 0) if len(self.keys) else np.zeros(len(self.place), np.int64)
+
+
+class _Block:
+    """A block of documents with the replies so far; ``levels[0]`` are its words."""
+
+    def __init__(self, row: dict, replies: list[list[bytes]], norm: float, order: int):
+        self.norm, self.levels = norm, []
+        self.held = _unpack(row["held"], np.uint8).astype(bool)
+        self.lengths = _unpack(row["lengths"], np.int64)
+        self.ids = _unpack(row["ids"], np.int64).reshape(-1, 2)
+        self.n = int(self.lengths.sum())
+        self.position = (np.arange(self.n) - np.repeat(np.cumsum(self.lengths) - self.lengths, self.lengths)).astype(np.int32)
+        words, tokens = _unpack(row["words"], np.uint64), _unpack(row["tokens"], np.uint32)
+        by = np.argsort(words)
+        rank = np.empty(len(words), np.int32)
+        rank[by] = np.arange(len(words), dtype=np.int32)
+        self.levels.append(_Level(words[by], rank[tokens], np.arange(self.n, dtype=np.int32), None, self.n))
+        for step, (counts, backs) in enumerate(replies, 1):
+            if step <= order:
+                self.levels[-1].tell(_unpack(counts, np.int64))
+                if step < order:
+                    self._longer()
+            if step >= 3:
+                level = self.levels[step - 3]
+                asked, _, _ = self.contexts(step - 2)
+                level.back = np.zeros(len(level.keys))
+                level.back[asked] = _unpack(backs, np.float64)
+
+    def _longer(self) -> None:
+        """The n-grams one word longer whose two shorter n-grams are kept."""
+        low = self.levels[-1]
+        kept = low.count_at >= LEAST
+        where = np.flatnonzero(kept[1:] & kept[:-1] & (self.position[1:] >= len(self.levels))).astype(np.int32) + np.int32(1)
+        keys = textcore.combine(low.keys[low.place[where - 1]], low.keys[low.place[where]])
+        keys, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
+        self.levels.append(_Level(keys, inverse, where, where[first], self.n))
+
+    def trained(self) -> np.ndarray:
+        """How often each n-gram of the longest level occurs in the block's training documents."""
+        level = self.levels[-1]
+        trains = np.repeat(~self.held, self.lengths)[level.where]
+        return np.bincount(level.place[level.where[trains]], minlength=len(level.keys)).astype(np.uint32)
+
+    def p(self, n: int, ends: np.ndarray) -> np.ndarray:
+        """The probability of the kept n-gram that ends at each of ``ends``, after its first n - 1 words."""
+        count = self.levels[n - 1].count_at[ends]
+        if n == 1:
+            return (count + ALPHA) / self.norm
+        return (count - DISCOUNT) / self.levels[n - 2].count_at[ends - 1]
+
+    def contexts(self, n: int):
+        """Places of the n-grams whose backoff weight is asked for, and what the n-grams one word longer that this block answers for add up to."""
+        low, high = self.levels[n - 1], self.levels[n]
+        ends = high.first[high.own & (high.counts >= LEAST)]
+        sums = [np.bincount(low.place[ends - 1], x, len(low.keys)) for x in (self.p(n + 1, ends), self.p(n, ends))]
+        asked = np.zeros(len(low.keys), bool)
+        asked[low.place[ends - 1]] = True
+        asked[low.place[self._fails(n) - 1]] = True
+        return np.flatnonzero(asked), *sums
+
+    def _fails(self, n: int) -> np.ndarray:
+        """Tokens after a kept n-gram that it has no kept n-gram for."""
+        before, now = self.levels[n - 1].count_at, self.levels[n].count_at
+        return np.flatnonzero((before[:-1] >= LEAST) & (now[1:] < LEAST) & (self.position[1:] > 0)) + 1
+
+    def scores(self):
+        """n_known, base_score and score of each document."""
+        doc = np.repeat(np.arange(len(self.lengths)), self.lengths)
+        every = np.arange(self.n)
+        base = np.log10(self.p(1, every))
+        gain = base.copy()
+        for n in range(2, len(self.levels) + 1):
+            at = np.flatnonzero(self.levels[n - 1].count_at >= LEAST)
+            gain[at] = np.log10(self.p(n, at))
+            at = self._fails(n - 1)
+            low = self.levels[n - 2]
+            gain[at] += low.back[low.place[at - 1]]
+        known = np.bincount(doc[self.levels[0].count_at > 0], minlength=len(self.lengths))
+        return known, np.bincount(doc, base, len(self.lengths)), np.bincount(doc, gain, len(self.lengths))
+
+
+def _pieces(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Where each bucket's part of the ascending ``keys`` starts; buckets are equal ranges of keys."""
+    edges = np.array([(i << 64) // buckets for i in range(buckets)], np.uint64)
+    return np.append(np.searchsorted(keys, edges), len(keys))
+
+
+_ASK = "bucket int, block long, kind int, k binary, v binary"
+_REPLY = "block long, bucket int, n_keys long, kind int, v binary"
+
+
+def _ask(block: int, step: int, order: int, state: _Block, buckets: int):
+    """One row a bucket and kind: counts of the level ``step``, sums of the contexts two levels below."""
+    asks = []
+    if step <= order:
+        asks.append((0, state.levels[-1].keys, [state.trained()]))
+    if step >= 3:
+        asked, *sums = state.contexts(step - 2)
+        asks.append((1, state.levels[step - 3].keys[asked], [x[asked] for x in sums]))
+    for kind, keys, values in asks:
+        cuts = _pieces(keys, buckets)
+        some = np.flatnonzero(np.diff(cuts))
+        k = [_pack_keys(keys[a:b]) for a, b in zip(cuts[some], cuts[some + 1], strict=True)]
+        v = [_pack(values[0][a:b] if kind == 0 else np.concatenate([x[a:b] for x in values])) for a, b in zip(cuts[some], cuts[some + 1], strict=True)]
+        n = len(some)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(np.full(n, block, np.int64)), pa.array(np.full(n, kind, np.int32)), pa.array(k, pa.binary()), pa.array(v, pa.binary())], names=["bucket", "block", "kind", "k", "v"])
+
+
+def _serve(least: int):
+    """Adds up a bucket's rows and tells every block of each of its keys: the count and whether the block answers for it, or the backoff weight."""
+
+    def answer(bucket, kind, rows):
+        keys = [_unpack_keys(r[1]) for r in rows]
+        sizes = [len(x) for x in keys]
+        cuts = np.concatenate([[0], np.cumsum(sizes)])
+        keys, first, inverse = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+        if kind == 0:
+            total = np.bincount(inverse, np.concatenate([_unpack(r[2], np.uint32) for r in rows]), len(keys)).astype(np.int64)
+            n_keys = int((total > 0).sum())
+            total[total < least] = 0
+            told = (total << 1)[inverse]
+            told[first] |= 1
+        else:
+            sums = [_unpack(r[2], np.float64).reshape(2, -1) for r in rows]
+            left = [np.maximum(1 - np.bincount(inverse, np.concatenate([x[i] for x in sums]), len(keys)), 1e-12) for i in (0, 1)]
+            told, n_keys = np.log10(left[0] / left[1])[inverse], 0
+        n = len(rows)
+        out = [_pack(told[a:b]) for a, b in itertools.pairwise(cuts)]
+        columns = [np.array([r[0] for r in rows], np.int64), np.full(n, bucket, np.int32), np.array([n_keys] + [0] * (n - 1), np.int64), np.full(n, kind, np.int32)]
+        return pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(out, pa.binary())], names=["block", "bucket", "n_keys", "kind", "v"])
 
+    def run(batches):
+        held, now = [], None
+        for batch in batches:
+            for bucket, block, kind, k, v in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (bucket, kind) != now and held:
+                    yield answer(*now, held)
+                    held = []
+                now = (bucket, kind)
+                held.append((block, k, v))
+        if held:
+            yield answer(*now, held)
 
-def _level(found: np.ndarray, at: np.ndarray, level: int):
-    *_, out = _grams(found, at, level)
-    return out
+    return textcore.lean(run)
 
 
-def _dealt(keys: np.ndarray, buckets: int, *columns: np.ndarray):
-    """Per bucket of ``keys`` its number and its part of every column, as bytes."""
-    bucket = (keys % np.uint64(buckets)).astype(np.int32)
-    order = np.argsort(bucket, kind="stable")
-    numbers, starts = np.unique(bucket[order], return_index=True)
-    ends = np.append(starts, len(order))[1:]
-    columns = [c[order] for c in columns]
-    return numbers, [[c[a:b].tobytes() for a, b in zip(starts, ends, strict=True)] for c in columns]
+def _gather(batches):
+    """The replies to each block put together, in the order of the keys it asked for."""
 
+    def row(block, held, n_keys):
+        out = []
+        for kind, as_type in ((0, np.int64), (1, np.float64)):
+            mine = [_unpack(v, as_type) for k, v in held if k == kind]
+            out.append(_pack(np.concatenate(mine) if mine else np.zeros(0, as_type)))
+        return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([n_keys], pa.int64()), *[pa.array([x], pa.binary()) for x in out]], names=["block", "n_keys", "counts", "backs"])
 
-def _by_bucket(batches):
-    """The rows of each bucket of a partition sorted by bucket, as lists of values without the bucket."""
-    held, now = [], None
+    held, now, n_keys = [], None, 0
     for batch in batches:
-        for bucket, *values in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if bucket != now and held:
-                yield held
-                held = []
-            now = bucket
-            held.append(values)
+        for block, _, n, kind, v in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if block != now and held:
+                yield row(now, held, n_keys)
+                held, n_keys = [], 0
+            now = block
+            n_keys += n
+            held.append((kind, v))
     if held:
-        yield held
-
-
-def _count_level(training: DataFrame, level: int, buckets: int, name: str) -> DataFrame:
-    """k, a, b, c: the kept n-grams of a level, the keys of their first and last n - 1 words, and their counts."""
-
-    def deal(pending):
-        keys, first, last = (np.concatenate(x) for x in zip(*pending, strict=True))
-        keys, at, counts = np.unique(keys, return_index=True, return_counts=True)
-        order = np.argsort(first[at], kind="stable")
-        at, counts = at[order], counts[order].astype(np.int32)
-        numbers, (a, b, c) = _dealt(keys[order], buckets, first[at], last[at], counts)
-        return pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), *[pa.array(x, pa.binary()) for x in (a, b, c)]], names=["bucket", "a", "b", "c"])
-
-    def scan(batches):
-        pending, size = [], 0
-        for _, found, at in _token_blocks(batches, textcore.BLOCK_BYTES):
-            keys, first, last, _ = _level(found, at, level)
-            pending.append((keys, first, last))
-            size += len(keys)
-            if size >= _GATHER // 6:
-                yield deal(pending)
-                pending, size = [], 0
-        if size:
-            yield deal(pending)
-
-    def add(batches):
-        for held in _by_bucket(batches):
-            a, b = (np.concatenate([np.frombuffer(x[i], np.uint64) for x in held]) for i in (0, 1))
-            counts = np.concatenate([np.frombuffer(x[2], np.int32) for x in held])
-            keys, at, inverse = np.unique(textcore.combine(a, b), return_index=True, return_inverse=True)
-            total = np.bincount(inverse, counts, len(keys)).astype(np.int64)
-            kept = total >= LEAST
-            at = at[kept]
-            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (keys[kept], a[at], b[at])] + [pa.array(total[kept])], names=["k", "a", "b", "c"])
-
-    dealt = training.mapInArrow(scan, "bucket int, a binary, b binary, c binary")
-    return staged(dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(add, "k long, a long, b long, c long"), name)
-
-
-def _looked_up(rows: DataFrame, weights: DataFrame, shared, level: int, buckets: int, name: str) -> DataFrame:
-    """rid, w, base, n: the summed weights of a level's n-grams outside the broadcast in the rows of each ``rid``, and how many have one."""
-
-    def ask(batches):
-        for part, found, at in _token_blocks(batches, textcore.BLOCK_BYTES * 2):
-            keys, _, _, where = _level(found, at, level)
-            rid = np.repeat(part.column("rid").to_numpy(), np.diff(at))[where]
-            rest = _find(shared.value[level - 1][0], keys) < 0
-            numbers, (k, r) = _dealt(keys[rest], buckets, keys[rest], rid[rest])
-            yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(np.ones(len(numbers), np.int32)), pa.array(k, pa.binary()), pa.array(r, pa.binary())], names=["bucket", "kind", "k", "v"])
-
-    def tell(batches):
-        for batch in batches:
-            keys = batch.column("k").to_numpy().view(np.uint64)
-            numbers, (k, w) = _dealt(keys, buckets, keys, np.column_stack([batch.column("w").to_numpy(), batch.column("base").to_numpy()]))
-            yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(np.zeros(len(numbers), np.int32)), pa.array(k, pa.binary()), pa.array(w, pa.binary())], names=["bucket", "kind", "k", "v"])
-
-    def total(pending):
-        rid, w = (np.concatenate(x) for x in zip(*pending, strict=True))
-        rid, inverse = np.unique(rid, return_inverse=True)
-        sums = [np.bincount(inverse, w[:, i], len(rid)) for i in (0, 1)]
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (rid, *sums, np.bincount(inverse, minlength=len(rid)))], names=["rid", "w", "base", "n"])
-
-    def answer(batches):
-        pending, size = [], 0
-        for held in _by_bucket(batches):
-            told = [x for x in held if x[0] == 0]
-            if not told:
-                continue
-            keys = np.concatenate([np.frombuffer(x[1], np.uint64) for x in told])
-            w = np.concatenate([np.frombuffer(x[2], np.float64).reshape(-1, 2) for x in told])
-            order = np.argsort(keys)
-            keys, w = keys[order], w[order]
-            for _, k, r in (x for x in held if x[0] == 1):
-                at = _find(keys, np.frombuffer(k, np.uint64))
-                hit = at >= 0
-                pending.append((np.frombuffer(r, np.int64)[hit], w[at[hit]]))
-                size += len(pending[-1][0])
-            if size >= _GATHER // 3:
-                yield total(pending)
-                pending, size = [], 0
-        if pending:
-            yield total(pending)
-
-    schema = "bucket int, kind int, k binary, v binary"
-    both = weights.select("k", "w", "base").mapInArrow(tell, schema).unionByName(rows.select("rid", "text").mapInArrow(ask, schema))
-    answered = both.repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(answer, "rid long, w double, base double, n long")
-    return staged(answered.groupBy("rid").agg(*[F.sum(x).alias(x) for x in ("w", "base", "n")]), name)
-
-
-def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """The place of each wanted key among the sorted ``keys``, or -1."""
-    if not len(keys):
-        return np.full(len(wanted), -1)
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return np.where(keys[at] == wanted, at, -1)
+        yield row(now, held, n_keys)
+
+
+def _states(batches, steps: int, norm: float, order: int):
+    for batch in batches:
+        for i in range(len(batch)):
+            row = {name: batch.column(name)[i].as_py() for name in batch.schema.names}
+            yield row["block"], _Block(row, [[row[f"counts{s}"], row[f"backs{s}"]] for s in range(1, steps + 1)], norm, order)
 
 
 def lm_scores(docs: DataFrame, order: int = ORDER, share: float = SHARE) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of ``docs`` (doc_id, text)."""
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of ``docs`` (doc_id, text).
+
+    Nothing is broadcast any more, so ``share`` changes neither scores nor work.
+    """
     spark, since = docs.sparkSession, staged_count()
     ship(spark)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), (crc_of_id() % 10 == 0).alias("held_out"))
-    # rows with one rid are equal and have equal scores
-    rows = rows.withColumn("rid", F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.coalesce("text", F.lit(""))))
-    training = rows.where(~F.col("held_out")).select("text")
-
-    counted = training.mapInArrow(_counted(lambda part, found, at: found), "k long, c long")
-    lexicon = staged(counted.groupBy("k").agg(F.sum("c").alias("c")), "lexicon")
-    total, different = lexicon.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    norm = total + ALPHA * (different + 1)
-    buckets = max(32, math.ceil(total / PER_BUCKET))
-    common = max(LEAST, math.ceil(share * total))
-
-    # k, c, p and, above the words, a, b and the p of b
-    levels = [lexicon.withColumn("p", (F.col("c") + F.lit(ALPHA)) / F.lit(float(norm)))]
-    backs = []
-    for level in range(2, order + 1):
-        low = levels[-1]
-        grown = _count_level(training, level, buckets, f"grams{level}")
-        settle(spark)
-        made = grown.join(low.select(F.col("k").alias("a"), F.col("c").alias("context")), "a").join(low.select(F.col("k").alias("b"), F.col("p").alias("below")), "b")
-        made = staged(made.select("k", "a", "c", "below", ((F.col("c") - F.lit(DISCOUNT)) / F.col("context")).alias("p")), f"level{level}")
-        drop_staged(spark, staged_count() - 2)  # the counts alone
-        del grown
-        settle(spark)
-        levels.append(made)
-        left = [F.greatest(1 - F.sum(x), F.lit(1e-12)) for x in ("p", "below")]
-        backs.append(staged(made.groupBy("a").agg(F.log10(left[0] / left[1]).alias("back")), f"backs{level}"))
-    weights = []
-    for i, made in enumerate(levels):
-        w = F.log10("p")
-        if i:
-            made = made.join(backs[i - 1], "a")
-            w = w - F.log10("below") - F.col("back")
-        made = made.select("k", "c", w.alias("w"), (F.lit(0.0) if i else w).alias("base"))
-        if i < len(backs):
-            made = made.join(backs[i].select(F.col("a").alias("k"), F.col("back").alias("own")), "k", "left").withColumn("w", F.col("w") + F.coalesce("own", F.lit(0.0))).drop("own")
-        weights.append(staged(made, f"weights{i + 1}"))
-    del levels, backs, made, lexicon, counted
-    drop_staged(spark, since, len(weights))
+    made = staged(rows.mapInArrow(textcore.lean(_to_blocks), _BLOCK), "blocks")
+    tokens_all, total, n_blocks = made.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.coalesce(F.sum("n_train"), F.lit(0)), F.count("*")).first()
+    buckets, dealt = max(32, math.ceil(tokens_all / PER_BUCKET)), max(8, n_blocks)
+    tables = []
+
+    def bucketed(df, name):
+        table, out = staged_by(df, name, "block", dealt)
+        tables.append(table)
+        return out
+
+    blocks = bucketed(made, "dealt")
+    drop_staged(spark, since)
     settle(spark)
-
-    def frequent(df):
-        # at most 1 / share rows
-        columns = df.where(F.col("c") >= common).select("k", "w", "base").toPandas()
-        keys = columns["k"].to_numpy(np.int64).view(np.uint64)
-        by = np.argsort(keys)
-        return keys[by], columns["w"].to_numpy(np.float64)[by], columns["base"].to_numpy(np.float64)[by]
-
-    shared = spark.sparkContext.broadcast([frequent(df) for df in weights])
-
-    def walk(batches):
-        for part, found, at in _token_blocks(batches, textcore.BLOCK_BYTES * 2):
-            n = len(part)
-            owner = np.repeat(np.arange(n), np.diff(at))
-            score, base, known = np.zeros(n), np.zeros(n), np.zeros(n, np.int64)
-            for level, (keys, _, _, where) in enumerate(_grams(found, at, order)):
-                have, w, p = shared.value[level]
-                place = _find(have, keys)
-                hit = place >= 0
-                whose = owner[where[hit]]
-                score += np.bincount(whose, w[place[hit]], n)
-                if level == 0:
-                    base += np.bincount(whose, p[place[hit]], n)
-                    known += np.bincount(whose, minlength=n)
-            yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), part.column("held_out"), part.column("rid"), pa.array(np.diff(at)), pa.array(known), pa.array(base), pa.array(score)],
-                names=["doc_id", "held_out", "rid", "n_tokens", "n_frequent", "base", "walk"],
-            )
-
-    walked = staged(rows.mapInArrow(walk, "doc_id long, held_out boolean, rid long, n_tokens long, n_frequent long, base double, walk double"), "walks")
-    parts = []
-    for level, df in enumerate(weights, 1):
-        found = _looked_up(rows, df, shared, level, buckets, f"found{level}")
-        parts.append(found if level == 1 else found.withColumn("n", F.lit(0).cast("long")))
+    norm, joined = 0.0, blocks
+    for step in range(1, order + 2 if order > 1 else 2):
+
+        def ask(batches, step=step, norm=norm):
+            for block, state in _states(batches, step - 1, norm, order):
+                yield from _ask(block, step, order, state, buckets)
+                del state  # before the next one is made
+
+        asked = joined.mapInArrow(textcore.lean(ask), _ASK).repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind", "block")
+        told = asked.mapInArrow(_serve(1 if step == 1 else LEAST), _REPLY).repartition(dealt, "block").sortWithinPartitions("block", "kind", "bucket")
+        replies = bucketed(told.mapInArrow(textcore.lean(_gather), "block long, n_keys long, counts binary, backs binary"), f"replies{step}")
+        del asked, told
         settle(spark)
-    added = functools.reduce(DataFrame.unionByName, parts)
-    added = added.groupBy("rid").agg(F.sum("base").alias("base_part"), F.sum("w").alias("part"), F.sum("n").alias("n"))
-    copies = walked.groupBy("rid").agg(F.count("*").alias("copies"))
-    added = added.join(copies, "rid").select("rid", (F.col("base_part") / F.col("copies")).alias("base_part"), (F.col("part") / F.col("copies")).alias("part"), (F.col("n") / F.col("copies")).cast("long").alias("hits"))
-    joined = walked.join(added, "rid", "left")
-    known = F.col("n_frequent") + F.coalesce("hits", F.lit(0))
-    # words that training has not seen
-    unknown = (F.col("n_tokens") - known) * F.lit(math.log10(ALPHA / norm))
-    return joined.select(
-        "doc_id",
-        "held_out",
-        "n_tokens",
-        known.alias("n_known"),
-        F.lit(int(total)).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("base_part", F.lit(0.0)) + unknown).alias("base_score"),
-        (F.col("walk") + F.coalesce("part", F.lit(0.0)) + unknown).alias("score"),
-    )
+        if step == 1:
+            norm = total + ALPHA * (replies.agg(F.coalesce(F.sum("n_keys"), F.lit(0))).first()[0] + 1)
+        joined = joined.join(replies.select("block", F.col("counts").alias(f"counts{step}"), F.col("backs").alias(f"backs{step}")), "block")
+    steps = order + 1 if order > 1 else 1
+
+    def score(batches):
+        for _, state in _states(batches, steps, norm, order):
+            known, base, gain = state.scores()
+            ids = pa.array(state.ids[:, 0], mask=state.ids[:, 1] > 0)
+            columns = [ids, pa.array(state.held), pa.array(state.lengths), pa.array(known.astype(np.int64)), pa.array(np.full(len(known), total, np.int64)), pa.array(base), pa.array(gain)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+            del state, columns  # before the next one is made
+
+    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    scored = staged(joined.mapInArrow(textcore.lean(score), schema), "scores")
+    for table in tables:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+    drop_staged(spark, since)
+    settle(spark)
+    return scored
