@@ -265,6 +265,23 @@ def test_language_model_keeps_what_occurs_twice(docs, texts, share):
     assert sorted(map(str, want)) == sorted(map(str, got))
 
 
+def test_language_model_moves_little(spark):
+    """What is shuffled is a small multiple of the texts: keys of each block travel once a level, not each occurrence."""
+    rng = np.random.default_rng(3)
+    words = np.array([f"word{i}" for i in range(3000)])
+    made = [(i, " ".join(words[np.minimum(rng.zipf(1.3, 1000), 3000) - 1])) for i in range(300)]
+    docs = spark.createDataFrame(made, "doc_id long, text string").repartition(2).localCheckpoint()
+
+    def written():
+        found = spark.sparkContext._jsc.sc().statusStore().executorList(True)
+        return sum(found.apply(i).totalShuffleWrite() for i in range(found.size()))
+
+    before = written()
+    assert len(lm_score.lm_scores(docs).collect()) == len(made)
+    moved = (written() - before) / sum(len(t) for _, t in made)
+    assert moved < 1.6, moved
+
+
 def test_automaton_is_a_distribution():
     """The continuations of every state add up to one, and the walk equals step-by-step backoff."""
     rng = np.random.default_rng(0)
